@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.params import DAY_NS
@@ -45,12 +45,16 @@ def date_to_ns(date: Column) -> Column:
     return F.unix_date(date.cast("date")).cast("long") * F.lit(DAY_NS)
 
 
-def rounded(frame, digits: int = 8, keep: tuple[str, ...] = ()):
+def digits_for(name: str, digits: int) -> int:
+    """Quotients of short decimals often end on a 5 in the ninth place; they keep ten digits."""
+    return max(digits, 10) if "_relative_" in name or "imbalance" in name else digits
+
+
+def rounded(frame: DataFrame, digits: int = 8) -> DataFrame:
     """Round every double column; the results of parallel sums differ in the last bits."""
-    return frame.select(
+    return frame.selectExpr(
         *(
-            F.round(F.col(name), digits).alias(name) if kind == "double" and name not in keep
-            else F.col(name)
+            f"round({name}, {digits_for(name, digits)}) AS {name}" if kind == "double" else name
             for name, kind in frame.dtypes
         )
     )

@@ -42,11 +42,10 @@ def write_trades(trades: DataFrame, path: str, slice_ids: int = 10_000_000) -> N
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
     """Stored trades under their declared schema; partition values stay strings."""
-    names = [*CANONICAL_TRADES.fieldNames(), "date"]
     schema = ", ".join(
         [f"{f.name} {f.dataType.simpleString()}" for f in CANONICAL_TRADES.fields] + ["date string"]
     )
-    return spark.read.schema(schema).parquet(path).select(*names)
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_features(features: DataFrame, path: str) -> None:
@@ -78,7 +77,7 @@ def empty_report(spark: SparkSession, schema: str) -> DataFrame:
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Per stored file: rows, time range, timestamp unit and SHA-256."""
-    trades = spark.read.parquet(path)
+    trades = read_trades(spark, path)
     file = F.col("_metadata.file_path").alias("file")
     counts = trades.select("*", file).groupBy("symbol", "market_type", "date", "file").agg(
         F.count("*").alias("rows"),
