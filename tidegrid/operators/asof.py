@@ -104,7 +104,7 @@ def first_at_or_after(
         )
         requested = (
             requested.join(hot, bucket, "left")
-            .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)).cast("long"))
+            .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), (slices - 1).cast("long"))))
             .drop("_slices")
         )
         slice_keys.append("_slice")
