@@ -98,8 +98,16 @@ def fill_grid(
     first = F.lag(label).over(day).isNull()
     start = F.when(first, opening + (1 - lead_in_bars) * interval_ns).otherwise(label)
     end = F.coalesce(F.lead(label).over(day) - interval_ns, opening + DAY_NS)
+    # With several markets in one row, a bar may lack one market's price: carry it forward. This
+    # happens before the grid is filled, on the bars that exist.
+    running = day.rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = {
+        f"{prefix}last_price": F.last_value(f"{prefix}last_price", True).over(running)
+        for prefix in prefixes
+        if len(prefixes) > 1
+    }
     spread = (
-        bars.withColumns({"_from": start, "_to": end})
+        bars.withColumns({"_from": start, "_to": end, **carried})
         .withColumn("_t", F.explode(F.sequence("_from", "_to", F.lit(interval_ns))))
         .withColumn("_own", F.col("_t") == label)
     )
@@ -117,19 +125,7 @@ def fill_grid(
             .alias(prefix + name)
             for name in COUNT_COLUMNS
         ]
-    filled = spread.select(*columns)
-    if len(prefixes) == 1:
-        return filled
-    # With several markets in one row, a bar may lack one market's price: carry it forward.
-    running = W.partitionBy(*keys).orderBy("decision_time_ns").rowsBetween(
-        W.unboundedPreceding, W.currentRow
-    )
-    return filled.withColumns(
-        {
-            f"{prefix}last_price": F.last_value(f"{prefix}last_price", True).over(running)
-            for prefix in prefixes
-        }
-    )
+    return spread.select(*columns)
 
 
 def base_bars(trades: DataFrame, interval_ns: int) -> DataFrame:

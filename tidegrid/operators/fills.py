@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.guards import clip
+from tidegrid.functions.guards import clip, ratio_or_null
 from tidegrid.operators.asof import EventIndex, first_at_or_after, index_events
 from tidegrid.params import NS_PER_MS, NS_PER_SECOND, ExecutionParams
 
@@ -63,7 +63,7 @@ def candidate_fills(
         "_exit_target", F.col("entry_time_ns") + holding_seconds * NS_PER_SECOND
     )
     left = first_at_or_after(entered, index, "_exit_target", "exit", identity)
-    move = F.col("exit_price") / F.col("entry_price") - 1.0
+    move = ratio_or_null(F.col("exit_price"), F.col("entry_price")) - 1.0
     held = (F.col("exit_time_ns") - F.col("entry_time_ns")) / F.lit(float(NS_PER_SECOND))
     return left.drop("_entry_target", "_exit_target").withColumns(
         {"gross_return": F.col("direction") * move, "holding_seconds": held}

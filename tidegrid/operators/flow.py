@@ -79,8 +79,9 @@ def market_measures(prefix: str, window_ms: int, k: int) -> dict[str, str]:
         return f"{prefix}{name}__{k}"
 
     def imbalance(signed: str, whole: str) -> str:
+        # Trades without any amount have no imbalance; no trades at all are balanced.
         ratio = f"least(greatest({total(signed)} / {total(whole)}, -1.0D), 1.0D)"
-        return f"CASE WHEN {trades} > 0 THEN {ratio} ELSE 0.0D END"
+        return f"CASE WHEN {trades} = 0 THEN 0.0D WHEN {total(whole)} > 0 THEN {ratio} END"
 
     trades = total("trade_count")
     # Returns exist from the second priced bar to the end of the day, so a window holds one
@@ -111,15 +112,20 @@ def market_measures(prefix: str, window_ms: int, k: int) -> dict[str, str]:
 
 
 def add_trailing_columns(
-    bars: DataFrame, prefixes: Sequence[str], grid: GridParams, order: DayOrder
+    bars: DataFrame,
+    prefixes: Sequence[str],
+    grid: GridParams,
+    order: DayOrder,
+    alongside: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Log price, base return, its square, k-step returns and all trailing sums.
 
-    All prefixes are handled together, so each step is one window pass for both markets.
+    All prefixes are handled together, and further window columns can ride ``alongside`` the
+    returns: each step is one pass over the day. Prices are validated to be positive.
     """
     steps = [grid.bars(window) for window in grid.windows_ms]
     frame = with_sql(bars, {f"{p}_log_price": f"ln({p}last_price)" for p in prefixes})
-    returns = {}
+    returns = dict(alongside or {})
     for p in prefixes:
         returns[f"{p}_return"] = f"{p}_log_price - lag({p}_log_price) {order.over}"
         for k in steps:
@@ -140,20 +146,21 @@ def trade_flow_columns(prefix: str, grid: GridParams) -> dict[str, str]:
     return columns
 
 
-def add_cross_columns(bars: DataFrame, grid: GridParams, order: DayOrder) -> DataFrame:
-    """Log basis, its k-step changes and the moments of its z-score window."""
+def add_basis(bars: DataFrame) -> DataFrame:
+    ratio = "CASE WHEN spot_last_price > 0 THEN perpetual_last_price / spot_last_price END"
+    return with_sql(bars, {"spot_perp_log_basis": f"ln({ratio})"})
+
+
+def basis_windows(grid: GridParams, order: DayOrder) -> dict[str, str]:
+    """Earlier values of the log basis and the moments of its z-score window."""
     basis, z = "spot_perp_log_basis", order.last(grid.bars(grid.basis_z_window_ms))
-    frame = with_sql(bars, {basis: "ln(perpetual_last_price / spot_last_price)"})
     steps = [grid.bars(window) for window in grid.windows_ms]
-    return with_sql(
-        frame,
-        {
-            **{f"_basis_before__{k}": f"lag({basis}, {k}) {order.over}" for k in steps},
-            "_basis_count": f"count({basis}) {z}",
-            "_basis_mean": f"avg({basis}) {z}",
-            "_basis_std": f"stddev_samp({basis}) {z}",
-        },
-    )
+    return {
+        **{f"_basis_before__{k}": f"lag({basis}, {k}) {order.over}" for k in steps},
+        "_basis_count": f"count({basis}) {z}",
+        "_basis_mean": f"avg({basis}) {z}",
+        "_basis_std": f"stddev_samp({basis}) {z}",
+    }
 
 
 def zscore_column(grid: GridParams) -> dict[str, str]:

@@ -96,19 +96,22 @@ def scenario_trades(run: Backtest) -> DataFrame:
 def scenario_entities(run: Backtest) -> DataFrame:
     """Every scenario that is reported, also those that never trade."""
     params = run.params
-    spark = run.trades.sparkSession
-    rows = [
-        (latency, cost, sizing)
-        for latency in params.latencies_ms
-        for cost in params.cost_grid_bps
-        for sizing in ("fixed", "inverse_volatility")
-        if sizing == "fixed" or latency == params.primary_latency_ms
-    ]
-    grid = spark.createDataFrame(rows, "latency_ms int, cost_bps double, sizing string")
-    names = run.thresholds.select(F.col("symbol").alias("entity")).withColumn("_one", F.lit(1))
-    combined = spark.createDataFrame([("combined", 1)], "entity string, _one int")
-    joined = names.unionByName(combined).join(grid.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return joined.where("entity <> 'combined' OR sizing = 'fixed'")
+    grid = F.array(
+        *(
+            F.struct(
+                F.lit(latency).alias("latency_ms"),
+                F.lit(float(cost)).alias("cost_bps"),
+                F.lit(sizing).alias("sizing"),
+            )
+            for latency in params.latencies_ms
+            for cost in params.cost_grid_bps
+            for sizing in ("fixed", "inverse_volatility")
+            if sizing == "fixed" or latency == params.primary_latency_ms
+        )
+    )
+    combined = run.trades.sparkSession.createDataFrame([("combined",)], "entity string")
+    names = run.thresholds.select(F.col("symbol").alias("entity")).unionByName(combined)
+    return names.select("entity", F.inline(grid)).where("entity <> 'combined' OR sizing = 'fixed'")
 
 
 def sensitivity_grid(run: Backtest) -> DataFrame:

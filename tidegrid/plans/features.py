@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from tidegrid.operators.bars import BAR_KEYS, DAY_KEYS, base_bars, market_bars
 from tidegrid.operators.flow import (
     DayOrder,
-    add_cross_columns,
+    add_basis,
     add_trailing_columns,
+    basis_windows,
     direction_labels,
     label_names,
     predictor_columns,
@@ -61,12 +62,12 @@ def cross_market_features(trades: DataFrame, grid: GridParams) -> DataFrame:
     totals = [f"{m}_{name}" for m in MARKETS for name in ("quantity", "trade_count")]
     steps = [grid.bars(window) for window in grid.windows_ms]
     bars = trailing_sums(market_bars(trades, grid.base_ns), totals, steps, DAY)
-    frame = add_cross_columns(bars, grid, DAY)
+    frame = with_sql(add_basis(bars), basis_windows(grid, DAY))
     return frame.selectExpr(*DAY_KEYS, "decision_time_ns", *_named(relative_columns(grid)))
 
 
 def basis_zscore(trades: DataFrame, grid: GridParams) -> DataFrame:
-    frame = add_cross_columns(market_bars(trades, grid.base_ns), grid, DAY)
+    frame = with_sql(add_basis(market_bars(trades, grid.base_ns)), basis_windows(grid, DAY))
     return frame.selectExpr(
         *DAY_KEYS, "decision_time_ns", "spot_perp_log_basis", *_named(zscore_column(grid))
     )
@@ -97,17 +98,18 @@ def feature_frame(trades: DataFrame, grid: GridParams) -> DataFrame:
     lag = grid.feature_lag_bars
     # A decision within the first ``lag`` bars has no earlier row: give it an empty one.
     early = grid.decision_ns <= lag * grid.base_ns
-    frame = market_bars(trades, grid.base_ns, lag if early else 0)
-    frame = add_trailing_columns(frame, [f"{market}_" for market in MARKETS], grid, DAY)
-    frame = add_cross_columns(frame, grid, DAY)
-    frame = with_sql(
-        frame,
-        {
+    frame = add_trailing_columns(
+        add_basis(market_bars(trades, grid.base_ns, lag if early else 0)),
+        [f"{market}_" for market in MARKETS],
+        grid,
+        DAY,
+        alongside={
+            **basis_windows(grid, DAY),
             **return_labels("spot__log_price", grid, DAY, ahead=lag),
             **{f"_{m}_now": f"lead({m}_last_price, {lag}) {DAY.over}" for m in MARKETS},
-            "_decision": f"decision_time_ns + {lag * grid.base_ns}",
         },
     )
+    frame = with_sql(frame, {"_decision": f"decision_time_ns + {lag * grid.base_ns}"})
     # Offset of the decision in its day, and the day it closes a bar of.
     frame = with_sql(frame, {"_offset": f"pmod(_decision - 1, {DAY_NS}) + 1"}).where(
         f"pmod(_offset, {grid.decision_ns}) = 0 AND _offset < {DAY_NS} "

@@ -126,7 +126,7 @@ def _event_identity() -> dict[str, Column]:
         "market_type": F.when(
             F.col("event_type").isin("click", "view", "error"), "spot"
         ).otherwise("perpetual"),
-        "date": F.date_format(instant, "yyyy-MM-dd"),
+        "date": F.col("ts").cast("date").cast("string"),
         "micros": F.unix_micros(instant),
         "quantity": (F.get_json_object("props", "$.k").cast("int") + 1) / F.lit(10.0),
     }
