@@ -59,9 +59,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 _written: dict = {}
 
 
-def forget() -> None:
-    """Drop the references to stored intermediate tables; the next query writes its own."""
-    _written.clear()
+def forget(*names: str) -> None:
+    """Drop the references to stored stages (all without names); the next query writes its own."""
+    for key in [k for k in _written if not names or k[2] in names]:
+        del _written[key]
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -76,6 +77,22 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade_source.event_trades(spark, sf_dir)
 
 
+def dense_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as a larger trade stream over about 2,500 days, for throughput tests."""
+    use_utc(spark)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "CASE WHEN l_suppkey % 2 = 0 THEN 'AAA' ELSE 'BBB' END AS symbol",
+        "CASE WHEN l_linenumber % 2 = 0 THEN 'spot' ELSE 'perpetual' END AS market_type",
+        "CAST(CAST(l_shipdate AS DATE) AS STRING) AS date",
+        "(unix_date(CAST(l_shipdate AS DATE)) * 86400 + l_orderkey % 86400) * 1000000000 AS event_time_ns",
+        "CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS aggregate_trade_id",
+        "l_extendedprice / l_quantity AS price",
+        "CAST(l_quantity AS DOUBLE) AS quantity",
+        "l_linenumber % 3 = 0 AS is_buyer_maker",
+    )
+    return trade_source.with_flow_columns(lines)
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         spark, sf_dir, "features", lambda: feature_plans.feature_frame(_trades(spark, sf_dir), GRID)
