@@ -25,7 +25,7 @@ def test_asof_equals_binary_search(spark, slice_rows):
     targets = [int(t) for t in np.concatenate([crowd[:30], rng.integers(0, 7 * 3_600, 60) * SECOND, [0]])]
     index = asof.index_events(events, ("symbol", "date"), slice_rows=slice_rows)
     assert (index.hot is None) == (slice_rows > 300)
-    out = asof.first_at_or_after(_requests(spark, [*targets, None]), index, "target", "hit", ("symbol", "date", "n"))
+    out = asof.first_at_or_after(_requests(spark, [*targets, None]), index, "target", "hit")
     got = {r["n"]: (r["hit_time_ns"], r["hit_price"]) for r in out.collect()}
     order = np.lexsort((np.arange(len(times)), times))
     ordered = times[order]
@@ -43,7 +43,7 @@ def test_asof_by_shuffled_slices(spark, monkeypatch):
     events = trades(spark, [("spot", i * SECOND, i, 100 + i, 1, False) for i in range(50)])
     index = asof.index_events(events, ("symbol", "date"), slice_rows=10)
     assert index.hot is not None and not index.hot_is_small
-    out = asof.first_at_or_after(_requests(spark, [i * SECOND for i in range(60)]), index, "target", "hit", ("symbol", "date", "n"))
+    out = asof.first_at_or_after(_requests(spark, [i * SECOND for i in range(60)]), index, "target", "hit")
     got = [r["hit_time_ns"] for r in out.orderBy("n").collect()]
     assert got == [DAY0 + i * SECOND for i in range(50)] + [None] * 10
 
@@ -52,7 +52,7 @@ def test_nothing_matches_across_days(spark):
     today = trades(spark, [("spot", 0, 1, 100, 1, False)])
     tomorrow = trades(spark, [("spot", 86_400 * SECOND, 2, 200, 1, False)], date="2024-01-03")
     index = asof.index_events(today.unionByName(tomorrow), ("symbol", "date"))
-    out = asof.first_at_or_after(_requests(spark, [1]), index, "target", "hit", ("symbol", "date", "n"))
+    out = asof.first_at_or_after(_requests(spark, [1]), index, "target", "hit")
     assert out.first()["hit_time_ns"] is None
 
 

@@ -647,8 +647,7 @@ def asof_forward_fill(spark, sf_dir):
         "target_ns", F.col("decision_time_ns") + EXECUTION.primary_latency_ms * NS_PER_MS
     )
     index = fills.spot_index(_trades(spark, sf_dir))
-    identity = ("symbol", "date", "decision_time_ns")
-    return asof.first_at_or_after(requests, index, "target_ns", "fill", identity)
+    return asof.first_at_or_after(requests, index, "target_ns", "fill")
 
 
 def candidate_fills(spark, sf_dir):

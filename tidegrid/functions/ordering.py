@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.session import checkpointed
+from tidegrid.session import checkpointed, small_or_lazy
 
 
 def running_totals(
@@ -91,14 +91,22 @@ def exact_medians(
     below the bracket and orders only the distinct values inside it, a few 1/accuracy of the
     rows. A bracket that misses its median raises instead of giving a wrong answer.
     """
-    long = unpivot(frame, groups, columns)
     keys = [*groups, "name"]
     margin = 5.0 / accuracy
     points = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
-    brackets = long.groupBy(*keys).agg(
-        F.count("*").alias("rows"),
-        F.percentile_approx("value", points, F.lit(accuracy)).alias("_bracket"),
+    # One row per group with all sketches side by side: few groups keep the aggregation hashed.
+    sketches = frame.groupBy(*groups).agg(
+        *(
+            F.struct(
+                F.lit(c).alias("name"),
+                F.count(c).alias("rows"),
+                F.percentile_approx(F.col(c).cast("double"), points, F.lit(accuracy)).alias("_bracket"),
+            ).alias(c)
+            for c in columns
+        )
     )
+    brackets, _ = small_or_lazy(sketches.select(*groups, F.inline(F.array(*columns))))
+    long = unpivot(frame, groups, columns)
     value = F.col("value")
     low, high = F.col("_bracket")[0], F.col("_bracket")[1]
     counted = (

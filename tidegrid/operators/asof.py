@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegrid.operators.bars import event_order
 from tidegrid.params import NS_PER_SECOND
+from tidegrid.session import small_or_lazy
 
 HIT = ("event_time_ns", "aggregate_trade_id", "price")
 BROADCAST_ROWS = 100_000
@@ -20,7 +22,7 @@ class EventIndex:
     """Events cut into time buckets, with each bucket's first event and the crowded buckets.
 
     ``hot`` is None when no bucket exceeds ``slice_rows``; otherwise it holds (keys, bucket,
-    slices) and ``hot_is_small`` tells whether it may be broadcast.
+    slices), marked for broadcast when ``hot_is_small``.
     """
 
     events: DataFrame
@@ -51,90 +53,91 @@ def index_events(
     placed = events.select(
         *keys, *HIT, bucket_of(F.col("event_time_ns"), bucket_ns).alias("_bucket")
     )
-    stats = placed.groupBy(*keys, "_bucket").agg(
-        F.count("*").alias("_rows"), F.min(F.struct(*HIT)).alias("_first")
+    order = event_order(F.col("event_time_ns"), F.col("aggregate_trade_id"))
+    firsts = (
+        placed.withColumn("_order", order)
+        .groupBy(*keys, "_bucket")
+        .agg(
+            F.min("event_time_ns").alias("event_time_ns"),
+            *(F.min_by(c, "_order").alias(c) for c in ("aggregate_trade_id", "price")),
+        )
+        .select(*keys, "_bucket", F.struct(*HIT).alias("_first"))
     )
     crowded = placed.groupBy(*keys, "_bucket").count().where(F.col("count") > slice_rows)
     slices = crowded.select(
         *keys, "_bucket", F.ceil(F.col("count") / slice_rows).cast("int").alias("_slices")
     )
-    found = slices.limit(BROADCAST_ROWS + 1).collect()
-    small = len(found) <= BROADCAST_ROWS
-    hot = None
-    if found:
-        hot = events.sparkSession.createDataFrame(found, slices.schema) if small else slices
-    return EventIndex(placed, stats, hot, small, tuple(keys), bucket_ns)
+    hot, small = small_or_lazy(slices, BROADCAST_ROWS)
+    nothing = small and hot.isEmpty()
+    return EventIndex(placed, firsts, None if nothing else hot, small, tuple(keys), bucket_ns)
 
 
-def first_at_or_after(
-    requests: DataFrame, index: EventIndex, target: str, prefix: str, identity: Sequence[str]
-) -> DataFrame:
+def first_at_or_after(requests: DataFrame, index: EventIndex, target: str, prefix: str) -> DataFrame:
     """Add ``{prefix}_time_ns`` and ``{prefix}_price`` of the first event with time >= target.
 
     Equal times resolve to the lowest id. Only events with the same keys match, so nothing
     crosses a day when the date is a key. Rows stay in their time bucket: a request first
     looks at later events of its own bucket, then at the first event of the next non-empty
     bucket. A crowded bucket is split by a hash of the event; its requests visit every slice
-    and keep the earliest hit. ``identity`` must identify a request.
+    and keep the earliest hit. Requests must be distinct rows.
     """
     keys, bucket = list(index.keys), [*index.keys, "_bucket"]
     # A NULL target (nothing to look up) never matches and must not order before real events.
-    asked = requests.withColumn("_target", F.col(target)).withColumn(
-        "_bucket", bucket_of(F.col("_target"), index.bucket_ns)
+    asked = requests.where(F.col(target).isNotNull()).select(
+        *keys,
+        bucket_of(F.col(target), index.bucket_ns).alias("_bucket"),
+        F.col(target).alias("_at"),
+        F.struct(*requests.columns).alias("_request"),
     )
-    wanted = asked.where(F.col("_target").isNotNull()).select(*bucket).distinct()
     later = W.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(
         W.unboundedPreceding, -1
     )
     following = (
-        wanted.unionByName(index.firsts.select(*bucket, "_first"), allowMissingColumns=True)
+        asked.select(*bucket)
+        .distinct()
+        .unionByName(index.firsts.select(*bucket, "_first"), allowMissingColumns=True)
         .groupBy(*bucket)
         .agg(F.first("_first", True).alias("_first"))
         .select(*bucket, F.last_value("_first", True).over(later).alias("_next"))
     )
-    events = index.events
-    slice_keys = list(bucket)
-    requested = asked.where(F.col("_target").isNotNull())
+    events, requested, slice_keys = index.events, asked, list(bucket)
     if index.hot is not None:
-        hot = F.broadcast(index.hot) if index.hot_is_small else index.hot
         slices = F.coalesce("_slices", F.lit(1))
-        events = events.join(hot, bucket, "left").select(
+        events = events.join(index.hot, bucket, "left").select(
             *index.events.columns,
             F.pmod(F.xxhash64("event_time_ns", "aggregate_trade_id"), slices).alias("_slice"),
         )
-        requested = (
-            requested.join(hot, bucket, "left")
-            .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), (slices - 1).cast("long"))))
-            .drop("_slices")
+        every = F.sequence(F.lit(0).cast("long"), (slices - 1).cast("long"))
+        requested = requested.join(index.hot, bucket, "left").select(
+            *asked.columns, F.explode(every).alias("_slice")
         )
         slice_keys.append("_slice")
     backward = W.partitionBy(*slice_keys).orderBy(
         F.col("_at").desc(), F.col("_asks").asc(), F.col("_id").desc()
     ).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # The request's columns travel as one struct, which is a single NULL on the many event rows.
     both = requested.select(
-        "*", F.col("_target").alias("_at"), F.lit(1).alias("_asks"), F.lit(0).cast("long").alias("_id")
+        *slice_keys, "_at", F.lit(1).alias("_asks"), F.lit(0).cast("long").alias("_id"), "_request"
     ).unionByName(
         events.select(
             *slice_keys,
             F.col("event_time_ns").alias("_at"),
             F.lit(0).alias("_asks"),
             F.col("aggregate_trade_id").alias("_id"),
-            F.struct(*HIT).alias("_event"),
+            F.col("price").alias("_price"),
         ),
         allowMissingColumns=True,
     )
-    hits = both.withColumn("_hit", F.last_value("_event", True).over(backward)).where(
-        F.col("_asks") == 1
+    event = F.when(
+        F.col("_asks") == 0,
+        F.struct(F.col("_at").alias(HIT[0]), F.col("_id").alias(HIT[1]), F.col("_price").alias(HIT[2])),
     )
+    hits = both.withColumn("_hit", F.last_value(event, True).over(backward)).where("_asks = 1")
     if index.hot is not None:
-        kept = [name for name in asked.columns if name not in identity]
-        hits = hits.groupBy(*identity).agg(
-            F.min("_hit").alias("_hit"), *(F.first(name).alias(name) for name in kept)
-        )
-    hits = hits.join(following, bucket, "left")
+        hits = hits.groupBy(*bucket, "_request").agg(F.min("_hit").alias("_hit"))
     hit = F.coalesce("_hit", "_next")
-    answered = hits.select(
-        *requests.columns,
+    answered = hits.join(following, bucket, "left").select(
+        *(F.col(f"_request.{name}").alias(name) for name in requests.columns),
         hit["event_time_ns"].alias(f"{prefix}_time_ns"),
         hit["price"].alias(f"{prefix}_price"),
     )

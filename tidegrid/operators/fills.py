@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.guards import clip, ratio_or_null
 from tidegrid.operators.asof import EventIndex, first_at_or_after, index_events
 from tidegrid.params import NS_PER_MS, NS_PER_SECOND, ExecutionParams
+from tidegrid.session import stored
 
 DAY_KEYS = ("symbol", "date")
 SMALLEST_VOLATILITY = 1e-12
@@ -52,17 +53,19 @@ def candidate_fills(
     """Entry and exit of every signal at every latency, whether or not it will be taken.
 
     Entry is the first spot event at or after decision + latency, exit the first at or after
-    entry + holding time, both on the signal's day. All latencies share one pass.
+    entry + holding time, both on the signal's day. All latencies share one pass. The entries
+    are stored before the exits are looked up: they are as few as the signals, and the lookup
+    reads them several times.
     """
     latency = F.explode(F.array(*(F.lit(v) for v in latencies_ms)))
     asked = chosen.withColumn("latency_ms", latency).withColumn(
         "_entry_target", F.col("decision_time_ns") + F.col("latency_ms").cast("long") * NS_PER_MS
     )
-    identity = (*DAY_KEYS, "decision_time_ns", "latency_ms")
-    entered = first_at_or_after(asked, index, "_entry_target", "entry", identity).withColumn(
+    entered = first_at_or_after(asked, index, "_entry_target", "entry").withColumn(
         "_exit_target", F.col("entry_time_ns") + holding_seconds * NS_PER_SECOND
     )
-    left = first_at_or_after(entered, index, "_exit_target", "exit", identity)
+    entered = stored(entered, "entries")
+    left = first_at_or_after(entered, index, "_exit_target", "exit")
     move = ratio_or_null(F.col("exit_price"), F.col("entry_price")) - 1.0
     held = (F.col("exit_time_ns") - F.col("entry_time_ns")) / F.lit(float(NS_PER_SECOND))
     return left.drop("_entry_target", "_exit_target").withColumns(
