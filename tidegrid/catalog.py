@@ -552,15 +552,19 @@ def logistic_walk_forward(spark, sf_dir):
 
 
 def walk_forward_metrics(spark, sf_dir):
-    """Regression metrics of references, linear and ridge models for every fold and scope."""
+    """All models of the walk-forward run: regression and classification, every fold and scope."""
     features = _features(spark, sf_dir)
-    folds = _folds(features)
-    split = splits.walk_forward_split(features, folds, PURGE_SECONDS)
+    split = splits.walk_forward_split(features, _folds(features), PURGE_SECONDS)
     reference = research.reference_predictions(split, TARGET)
-    columns = [*research.PREDICTION_KEYS, "date", "decision_time_ns", "actual", "predicted", "training_mean"]
-    everything = _linear(spark, sf_dir).select(*columns).unionByName(reference.select(*columns))
-    long = stored(everything, "predictions")
-    return rounded(evaluation.regression_metrics(long, list(research.PREDICTION_KEYS)), 6)
+    keys = list(research.PREDICTION_KEYS)
+    columns = [*keys, "date", "decision_time_ns", "actual", "predicted", "training_mean"]
+    values = stored(
+        _linear(spark, sf_dir).select(*columns).unionByName(reference.select(*columns)), "predictions"
+    )
+    chances = stored(_logistic(spark, sf_dir)[0], "probabilities")
+    regression = evaluation.regression_metrics(values, keys).withColumn("task", F.lit("regression"))
+    classes = evaluation.classification_metrics(chances, keys).withColumn("task", F.lit("classification"))
+    return rounded(regression.unionByName(classes, allowMissingColumns=True), 6)
 
 
 def placebo_ridge(spark, sf_dir):
