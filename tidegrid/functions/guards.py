@@ -46,8 +46,10 @@ def date_to_ns(date: Column) -> Column:
 
 
 def digits_for(name: str, digits: int) -> int:
-    """Quotients of short decimals often end on a 5 in the ninth place; they keep ten digits."""
-    return max(digits, 10) if "_relative_" in name or "imbalance" in name else digits
+    """Quotients of short decimals, and scores of nine digits, often end on a 5 in the ninth
+    place, where engines round differently; they keep ten digits."""
+    exact = name == "prediction" or "_relative_" in name or "imbalance" in name
+    return max(digits, 10) if exact else digits
 
 
 def rounded(frame: DataFrame, digits: int = 8) -> DataFrame:
