@@ -33,9 +33,7 @@ def test_filled_stream_has_no_gaps_over_several_batches(spark, tmp_path):
     traded = batch.where("trade_count > 0")
     traded.where(half).coalesce(1).write.parquet(folder)
     traded.where(~half).coalesce(1).write.mode("append").parquet(folder)
-    filled = stream.run_to_table(
-        stream.fill_stream(stream.bar_stream(spark, folder, interval), interval), "f"
-    )
+    filled = stream.run_to_table(stream.fill_stream(stream.bar_stream(spark, folder), interval), "f")
     last = traded.groupBy(*names).agg(F.max("decision_time_ns").alias("end"))
     want = batch.join(last, names).where("decision_time_ns <= end").drop("end")
     assert filled.count() == want.count()

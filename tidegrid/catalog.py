@@ -759,9 +759,7 @@ def stream_bars(spark, sf_dir):
 def stream_bars_filled(spark, sf_dir):
     path = scratch_path(spark, "bar-table")
     _stream_bars(spark, sf_dir).write.parquet(path)
-    filled = stream.fill_stream(
-        stream.bar_stream(spark, path, GRID.base_interval_ms), GRID.base_interval_ms
-    )
+    filled = stream.fill_stream(stream.bar_stream(spark, path), GRID.base_interval_ms)
     return rounded(stream.run_to_table(filled, "filled"))
 
 

@@ -13,11 +13,6 @@ def ratio_or_null(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator)
 
 
-def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
-    """0.0 when the denominator is not positive or unknown."""
-    return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
-
-
 def clip(value: Column, lower: float | None = None, upper: float | None = None) -> Column:
     """Bound a value, keeping NULL as NULL (greatest and least alone would skip it)."""
     bounded = value

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators.bars import ACTIVITY_COLUMNS, BAR_KEYS, event_order
+from tidegrid.operators.bars import ACTIVITY_COLUMNS, BAR_KEYS, COUNT_COLUMNS, SUM_COLUMNS, event_order
 from tidegrid.params import DAY_NS, NS_PER_MS
 from tidegrid.session import scratch_path
 from tidegrid.sources.trades import trades_from_events
@@ -40,10 +40,7 @@ def stream_bars(trades: DataFrame, interval_ms: int, delay: str) -> DataFrame:
         timed.groupBy(F.window("_at", f"{interval_ms} milliseconds"), *BAR_KEYS)
         .agg(
             F.max_by("price", "_order").alias("last_price"),
-            *(
-                F.sum(name).alias(name)
-                for name in ("quantity", "notional", "signed_quantity", "signed_notional")
-            ),
+            *(F.sum(name).alias(name) for name in SUM_COLUMNS),
             F.count("*").alias("trade_count"),
             F.count_if(~maker).alias("buyer_trade_count"),
             F.count_if(maker).alias("seller_trade_count"),
@@ -75,17 +72,12 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> D
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def bar_stream(spark: SparkSession, folder: str, interval_ms: int) -> DataFrame:
+def bar_stream(spark: SparkSession, folder: str) -> DataFrame:
     """A stored bar table as a stream."""
-    kinds = {"last_price": "double"}
-    activity = [
-        f"{n} {'bigint' if n.endswith('count') else 'double'}" for n in ACTIVITY_COLUMNS
-    ]
-    schema = ", ".join(
-        ["symbol string", "market_type string", "date string", "decision_time_ns bigint"]
-        + [f"{n} {k}" for n, k in kinds.items()]
-        + activity
-    )
+    counts = ", ".join(f"{n} bigint" for n in COUNT_COLUMNS)
+    sums = ", ".join(f"{n} double" for n in ("last_price", *SUM_COLUMNS))
+    keys = ", ".join(f"{n} string" for n in BAR_KEYS)
+    schema = f"{keys}, decision_time_ns bigint, {sums}, {counts}"
     return spark.readStream.schema(schema).parquet(folder)
 
 
