@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import coding, mixing, packing, secrets
+from tidegrid.llm import coding, forest, mixing, packing, secrets, vector_dedup
 from tidegrid.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select(
@@ -35,6 +39,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.with_starts(digests, offsets).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.digested(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
     return packing.packed(cut).select(
@@ -64,8 +72,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_nearest": op2_nearest,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_packing": op7_packing,
     "op10_secrets": op10_secrets,
 }
