@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import coding, forest, mixing, packing, secrets, vector_dedup
-from tidegrid.llm.common import table
+from tidegrid.llm import coding, forest, mixing, packing, quality, secrets, toxicity, vector_dedup
+from tidegrid.llm.common import held_out, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +22,17 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def _classified(spark: SparkSession, sf_dir: str, kind) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kind.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), kind.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= kind.THRESHOLD).cast("int"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select(
@@ -50,6 +61,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity)
+
+
 def _joined(spans, test):
     one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     return F.array_join(F.transform(F.filter(spans, test), one), ",")
@@ -73,10 +88,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
+    "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_token_files": op5_token_files,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_packing": op7_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
 
