@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning with a noisy-or.
 
-A document is a bag of sentences. A sentence's score is a logistic unit over its hashed words, and a document
-is toxic unless every sentence is harmless: 1 - product of (1 - sentence score). Word weights are learned from
+A document is a bag of sentences. A sentence's score is a logistic unit over its hashed words and their
+beginnings (4 to 6 bytes, for inflected and compound words), and a document is toxic unless every sentence is harmless: 1 - product of (1 - sentence score). Word weights are learned from
 document labels on a sample of at most ``sample_rows`` labelled documents (a parameter; rows of the
 held-out fold never), so the sentences that make a document toxic are found without sentence labels.
 
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.labels import labelled_sample
 
-BUCKETS = 1 << 18
-SAMPLE_ROWS = 8000
+BUCKETS = 1 << 20
+BEGINNINGS = (4, 5, 6)
+SAMPLE_ROWS = 6000
 THRESHOLD = 0.5
 CHUNK_CHARS = 500_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -37,7 +38,7 @@ _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each word, sentence of each word, document of each sentence that has words)."""
+    """(bucket of each word or beginning, its sentence, document of each sentence that has words)."""
     contents = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     raw = np.frombuffer(b"\n".join(contents) + b"\n", np.uint8)
     first = np.cumsum([0, *(len(c) + 1 for c in contents[:-1])])
@@ -48,11 +49,19 @@ def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body = raw[letter]
     at = np.cumsum(letter)[starts] - 1
     place = np.arange(len(body)) - np.repeat(at, np.diff(np.append(at, len(body))))
-    hashed = np.add.reduceat(body.astype(np.uint64) * _POWERS[place & 63], at)
-    hashed ^= hashed >> np.uint64(29)
-    bucket = ((hashed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(46)).astype(np.int64)
+    spelled = body.astype(np.uint64) * _POWERS[place & 63]
+    length = np.diff(np.append(at, len(body)))
     _, begin, sentence = np.unique(np.cumsum(_END[raw])[starts], return_index=True, return_inverse=True)
-    return bucket, sentence, np.searchsorted(first, starts[begin], "right") - 1
+    hashes, sentences = [np.add.reduceat(spelled, at)], [sentence]
+    for size in BEGINNINGS:
+        longer = np.flatnonzero(length > size)
+        part = spelled[at[longer][:, None] + np.arange(size)].sum(axis=1, dtype=np.uint64)
+        hashes.append(part + np.uint64(size * 0xD6E8FEB86659FD93 % (1 << 64)))
+        sentences.append(sentence[longer])
+    hashed = np.concatenate(hashes)
+    hashed ^= hashed >> np.uint64(29)
+    bucket = ((hashed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
+    return bucket, np.concatenate(sentences), np.searchsorted(first, starts[begin], "right") - 1
 
 
 def _harm(z):
@@ -80,31 +89,39 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def telling_words(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray, deviations: float = 4.0, odds: float = 3.0) -> np.ndarray:
+def telling_words(found: list[np.ndarray], y: np.ndarray, deviations: float = 3.0, odds: float = 3.0) -> np.ndarray:
     """Buckets whose documents are surely toxic more often than others.
 
     The lower Wilson bound of a word's share of toxic documents must have ``odds`` times the odds of all
     documents: names and accidents of a few texts are not learned.
     """
-    key = np.unique(doc * BUCKETS + bucket)
-    seen = np.bincount(key % BUCKETS, minlength=BUCKETS)
-    bad = np.bincount(key % BUCKETS, y[key // BUCKETS], minlength=BUCKETS)
+    seen, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for pairs, label in zip(found, y):
+        own = np.unique(pairs[:, 0])
+        seen[own] += 1
+        bad[own] += label
     n, share, z = np.maximum(seen, 1), bad / np.maximum(seen, 1), deviations**2
     low = (share + z / (2 * n) - deviations * np.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
     base = y.mean()
     return np.flatnonzero((seen > 0) & (low / np.maximum(1 - low, 1e-9) > odds * base / (1 - base)))
 
 
-def fit(bucket, sentence, doc, y, steps: int = 300, rate: float = 0.5, decay: float = 1e-5) -> Model:
-    """AdaGrad on the likelihood of document labels under the noisy-or, over the telling words, all bags at once."""
+def fit(found: list[np.ndarray], y: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-5) -> Model:
+    """AdaGrad on the likelihood of document labels under the noisy-or, over the telling words, all bags at once.
+
+    ``found`` has per document the distinct (bucket, sentence) pairs, sentences numbered from 0.
+    """
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.0)
-    sentences = len(doc)
-    chosen = telling_words(bucket, doc[sentence], y)
+    chosen = telling_words(found, y)
     number = np.full(BUCKETS, -1)
     number[chosen] = np.arange(len(chosen))
-    used = number[bucket] >= 0
-    sentence, word = sentence[used], number[bucket[used]]
+    counts = np.array([f[:, 1].max() + 1 if len(f) else 0 for f in found], np.int64)
+    sentences, offset = int(counts.sum()), np.cumsum(counts) - counts
+    doc = np.repeat(np.arange(len(y)), counts)
+    used = [f[number[f[:, 0]] >= 0] for f in found]
+    word = np.concatenate([number[f[:, 0]] for f in used])
+    sentence = np.concatenate([f[:, 1] + o for f, o in zip(used, offset)])
     weights, bias = np.zeros(len(chosen)), float(np.log(y.mean() * len(y) / max(1, sentences)))
     seen, seen_bias = np.full(len(chosen), 1e-12), 1e-12
     for _ in range(steps):
@@ -129,17 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 bucket, sentence, _ = bags([text])
-                content = np.column_stack([bucket, sentence]).astype("<i4").tobytes()
+                key = np.unique(sentence * BUCKETS + bucket)
+                content = np.column_stack([key % BUCKETS, key // BUCKETS]).astype("<i4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([content], pa.binary())], names=["label", "bag"])
 
     sample = labelled_sample(docs, labels, label, sample_rows).mapInArrow(measure, "label int, bag binary")
     rows = sorted((bytes(r["bag"]), r["label"]) for r in sample.collect())
-    found = [np.frombuffer(bag, "<i4").reshape(-1, 2).astype(np.int64) for bag, _ in rows]
-    counts = np.array([f[-1, 1] + 1 if len(f) else 0 for f in found], np.int64)
-    offset = np.cumsum(counts) - counts
-    bucket = np.concatenate([f[:, 0] for f in found]) if found else np.zeros(0, np.int64)
-    sentence = np.concatenate([f[:, 1] + o for f, o in zip(found, offset)]) if found else bucket
-    return fit(bucket, sentence, np.repeat(np.arange(len(rows)), counts), np.array([y for _, y in rows], np.float64))
+    return fit([np.frombuffer(bag, "<i4").reshape(-1, 2) for bag, _ in rows], np.array([y for _, y in rows], np.float64))
 
 
 def score(model: Model, text: str = "text") -> Column:
