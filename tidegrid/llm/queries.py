@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import coding, forest, mixing, packing, quality, secrets, toxicity, vector_dedup
+from tidegrid.llm import coding, forest, jaccard, mixing, packing, quality, secrets, toxicity, vector_dedup
 from tidegrid.llm.common import held_out, table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar(table(spark, sf_dir, "documents"), words=3, numerator=9, denominator=10)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -87,6 +92,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
