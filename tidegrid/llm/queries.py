@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import coding, forest, jaccard, mixing, packing, quality, secrets, toxicity, vector_dedup
+import corpus_pipeline
+from tidegrid.llm import coding, forest, jaccard, linededup, mixing, packing, quality, secrets, toxicity, vector_dedup
 from tidegrid.llm.common import held_out, table
 
 
@@ -66,6 +67,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.without_repeats(table(spark, sf_dir, "documents"))
+    lines = lambda text: F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long")
+    before, after = F.col("row.text"), F.col("text")
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"),
+        lines(before).alias("n_lines"),
+        # a text that has lost all its lines is the empty text, which still splits into one
+        (lines(before) - F.when(F.col("changed") & (after == ""), F.lit(0)).otherwise(lines(after))).alias("n_deleted"),
+        F.crc32(F.coalesce(after, F.lit(""))).alias("text_crc32"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity)
 
@@ -99,8 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
 
 _OP4 = r"""
@@ -132,3 +148,5 @@ FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 """
 
 ORACLES: dict[str, str] = {"op4_mixing": _OP4}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
