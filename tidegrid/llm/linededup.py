@@ -160,7 +160,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, text, changed): each input row as a struct, its text without later copies."""
     keyed = _keyed(docs)
     ranges = kept(later_copies(docs, min_words), "copies")
-    joined = keyed.join(ranges, ["d", "th"], "left")
+    # the ranges grow with the texts: both sides are shuffled at every size, never broadcast
+    joined = keyed.join(ranges.hint("merge"), ["d", "th"], "left")
     changed = F.col("ranges").isNotNull()
     cut = joined.withColumn("cut", _cut(F.when(changed, F.col("text")), F.col("ranges")))
     return cut.select("row", F.when(changed, F.col("cut")).otherwise(F.col("text")).alias("text"), changed.alias("changed"))
