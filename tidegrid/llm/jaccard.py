@@ -147,7 +147,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 tokens = [t.astype("<u8").tobytes() for t in shingle_sets(part.column("text").to_pylist(), size)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
-    texts = keyed(docs).join(wanted, ["d", "th"]).select("node", "text")
+    # what is wanted grows with the texts: both sides are shuffled at every size, never broadcast
+    texts = keyed(docs).join(wanted.hint("merge"), ["d", "th"]).select("node", "text")
     found = texts.mapInArrow(run, "node long, tokens binary")
     return kept(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
@@ -318,12 +319,13 @@ def similar(docs: DataFrame, words: int = 5, numerator: int = 4, denominator: in
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         .distinct()
     )
-    wanted = weight.select("node").join(nodes.select("node", "own.d", "own.th"), "node")
-    sets = _sets(docs, wanted, words)
-    links = _verified(_bounded(stars, nodes, rule), sets, rule)
+    # members alone have partners: later joins read their points only
+    indexed = kept(weight.select("node").join(nodes.select("node", "own.d", "own.th", "n", "counts"), "node"), "indexed")
+    sets = _sets(docs, indexed.select("node", "d", "th"), words)
+    links = _verified(_bounded(stars, indexed, rule), sets, rule)
     roots, every = components(links), False
     while True:
-        proposed = kept(_tree_pairs(_open_members(members, nodes, roots), rule, every), "pairs")
+        proposed = kept(_tree_pairs(_open_members(members, indexed, roots), rule, every), "pairs")
         more = _verified(proposed, sets, rule)
         found = not more.isEmpty()
         if found:
