@@ -125,6 +125,7 @@ def _points(docs: DataFrame, size: int, rule: Rule) -> DataFrame:
                     ],
                     names=["d", "th", "doc_id", "n", "node", "check", "cells", "counts"],
                 )
+            pa.default_memory_pool().release_unused()
 
     schema = "d long, th long, doc_id long, n long, node long, check long, cells array<long>, counts binary"
     return kept(keyed(docs).select("d", "th", "doc_id", "text").mapInArrow(run, schema), "points")

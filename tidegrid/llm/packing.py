@@ -50,6 +50,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
                     out = {name: [] for name in out}
             if out["ids"]:
                 yield _batch(out)
+            del doc_ids, texts, out
+            pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

@@ -16,8 +16,8 @@ from itertools import chain
 
 import numpy as np
 
-CACHED_WORDS = 700_000
-CHUNK_CHARS = 2_000_000
+CACHED_WORDS = 350_000
+CHUNK_CHARS = 500_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHERS = r"!-&(-/:-;=-@\[-`{-~"  # plain punctuation without ' (contractions) and < (special tokens)
