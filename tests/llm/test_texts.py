@@ -1,0 +1,247 @@
+"""Text operators against brute force, on odd rows and on the small table."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+from compare import differences
+from pyspark.sql import functions as F
+
+from tidegrid.llm import coding, jaccard, linededup, mixing, packing, quality, queries, secrets, toxicity
+from tidegrid.llm.common import table
+from tidegrid.llm.tokens import WordEncoder
+
+SF = "/root/testdata/sf0.001"
+
+
+def _set(text, size):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    if len(words) < size:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+
+
+def _components(rows, size, numerator, denominator):
+    """(id, set size, least id reachable) of each row by comparing all pairs."""
+    sets = [_set(t, size) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and denominator * len(a & sets[j]) >= numerator * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)].append(doc_id)
+    return Counter((d, len(s), min(least[find(i)], default=None)) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+
+
+def test_jaccard_matches_all_pairs(spark, odd_documents):
+    docs = odd_documents.unionByName(table(spark, SF, "documents").limit(150), allowMissingColumns=True)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    for size, numerator, denominator in ((3, 9, 10), (5, 4, 5)):
+        found = jaccard.similar(docs, size, numerator, denominator).select("doc_id", "n_shingles", "component_id").collect()
+        assert Counter(map(tuple, found)) == _components(rows, size, numerator, denominator)
+
+
+def test_cells_lose_no_linked_pair():
+    rng = np.random.default_rng(1)
+    for numerator, denominator in ((9, 10), (4, 5)):
+        rule = jaccard.Rule(numerator, denominator)
+        for size in [*range(2, 60), 100, 150, 333, 1000]:
+            for _ in range(5):
+                a = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+                change = rng.integers(0, max(1, size // 8) + 1)
+                b = np.concatenate([a[change:], rng.integers(0, 1 << 64, rng.integers(0, change + 1), dtype=np.uint64)])
+                a, b = np.unique(a), np.unique(b)
+                if len(b) and len(a) != len(np.intersect1d(a, b)) and rule.links(len(np.intersect1d(a, b)), len(a), len(b)):
+                    assert len(np.intersect1d(rule.cells(a), rule.cells(b)))
+
+
+def test_tree_bound_never_hides_a_link():
+    rng = np.random.default_rng(2)
+    rule, base = jaccard.Rule(4, 5), rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.integers(0, 40) :], rng.integers(0, 1 << 64, 20, dtype=np.uint64)])) for _ in range(90)]
+    points, sizes = np.stack([jaccard.point(s) for s in sets]).astype(np.int64), np.array([len(s) for s in sets])
+    may = jaccard.Tree(points, sizes).suffices(points, sizes, rule)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert may[i, j] or not rule.links(len(np.intersect1d(a, b)), len(a), len(b))
+
+
+def test_one_document_of_each_group_stays(odd_documents, no_documents):
+    stays = jaccard.deduplicated(odd_documents, 5, 4, 5)
+    assert stays.columns == odd_documents.columns
+    ids = Counter(r["doc_id"] for r in stays.collect())
+    assert ids == Counter([1, 4, 5, None, 6, 7, 9, 11, 12, 13, 14]) or ids == Counter([1, 4, 5, None, 6, 7, 9, 10, 11, 12, 13, 14])
+    assert jaccard.deduplicated(no_documents).count() == 0
+
+
+def test_mixing_matches_sql_and_takes_whole_copies(spark, odd_documents, no_documents):
+    assert differences(queries.op4_mixing(spark, SF), queries.ORACLES["op4_mixing"], SF) == []
+    plan = mixing.plan(odd_documents).select("row.doc_id", "row.source", "size", "source_size", "target", "copies").collect()
+    assert len(plan) == odd_documents.count() and all(0 <= r["copies"] <= 2 for r in plan)
+    assert abs(sum({r["source"]: r["target"] for r in plan}.values()) - 1.5 * sum(r["size"] for r in plan)) < 1e-6
+    taken = mixing.mixed(odd_documents)
+    assert taken.columns == odd_documents.columns and taken.count() == sum(r["copies"] for r in plan)
+    assert mixing.mixed(no_documents).count() == 0
+
+
+def test_word_cache_gives_the_librarys_ids(spark, tokenizer):
+    encoder = WordEncoder(tokenizer, cached_words=300)
+    texts = [r["text"] for r in table(spark, SF, "documents").select("text").collect()]
+    texts += ["", " ", None, "a\tb ć", "<|endoftext|> <|startoftext|>x", "ΟΔΟΣ", "it's 'S don 't", "\x1c\x1d a", "é 한", "İ ﬁ", "A<b ¡x_y [x] `~^ 12ab"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert encoder._tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist()
+
+
+def test_numbers_of_all_lengths_return():
+    numbers = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], np.uint32)
+    for count in range(len(numbers) + 1):
+        control, data = coding.pack_numbers(numbers[:count])
+        back = coding.unpack_numbers(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), count)
+        assert back.tolist() == numbers[:count].tolist()
+
+
+def test_token_files_return_every_document(spark, odd_documents, no_documents, tokenizer):
+    documents, offsets = coding.round_trip(odd_documents, tokenizer, file_ids=200)
+    found = coding.with_starts(documents, offsets).orderBy("start").collect()
+    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in odd_documents.collect()), key=lambda r: r[:2])
+    assert [(r["doc_id"] is None, r["doc_id"] or 0) for r in found] == [r[:2] for r in rows]
+    encoder, at, want = WordEncoder(tokenizer), 0, Counter()
+    for (_, doc_id, text), r in zip(rows, found):
+        want[(doc_id, np.append(next(encoder.encode([text])), 1).astype("<u4").tobytes())] += 1
+        assert r["start"] == at and r["n_tokens"] * 4 == len(r["ids"])
+        at += r["n_tokens"]
+    assert want == Counter((r["doc_id"] or 0, bytes(r["ids"])) for r in found)
+    documents, offsets = coding.round_trip(no_documents, tokenizer)
+    assert coding.with_starts(documents, offsets).count() == 0
+
+
+def test_packing_is_gapless_and_tight(spark, odd_documents, no_documents, tokenizer):
+    docs = odd_documents.select("doc_id", "text").unionByName(table(spark, SF, "documents").select("doc_id", "text"))
+    packed = packing.packed(packing.digested(packing.pieces(docs, tokenizer))).collect()
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        ends = 0
+        for offset, length in sorted(parts):
+            assert offset == ends
+            ends += length
+        assert ends <= packing.CAPACITY
+    total = sum(r["length"] for r in packed)
+    assert len(sequences) <= 1.02 * total / packing.CAPACITY + 2
+    encoder, want = WordEncoder(tokenizer), Counter()
+    for r in docs.collect():
+        ids = np.append(next(encoder.encode([r["text"]])), 0).astype("<u4")
+        for n, start in enumerate(range(0, len(ids), 2048)):
+            cut = ids[start : start + 2048]
+            want[(r["doc_id"], n, start, len(cut), zlib.crc32(cut.tobytes()))] += 1
+    assert want == Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+    assert packing.packed(packing.digested(packing.pieces(no_documents, tokenizer))).count() == 0
+
+
+def test_every_capacity_holds():
+    lengths = np.random.default_rng(4).integers(1, 900, 400)
+    for rule in ("norm", "dot"):
+        sequence, _ = packing.best_fit(lengths, 1000, most_pieces=3, most_attention=700_000 + 900 * 900, rule=rule)
+        for own in np.unique(sequence):
+            part = lengths[sequence == own]
+            assert part.sum() <= 1000 and len(part) <= 3 and (part**2).sum() <= 700_000 + 900 * 900
+
+
+def _without_later_copies(rows, min_words):
+    """Brute force: for every line the longest run with an earlier copy."""
+    seqs = [(t.split("\n"), [i for i, line in enumerate(t.split("\n")) if line.split()]) for _, t in rows]
+    gone = [set() for _ in rows]
+    line = lambda s, a: seqs[s][0][seqs[s][1][a]].strip()
+    places = defaultdict(list)
+    for s, (_, numbers) in enumerate(seqs):
+        for a in range(len(numbers)):
+            places[line(s, a)].append((s, a))
+    for same in places.values():
+        for x, (s, a) in enumerate(same):
+            best = 0
+            for u, b in same[:x]:
+                n = 0
+                while a + n < len(seqs[s][1]) and b + n < len(seqs[u][1]) and line(s, a + n) == line(u, b + n):
+                    n += 1
+                if sum(len(line(s, a + i).split()) for i in range(n)) >= min_words:
+                    best = max(best, n)
+            if best:
+                gone[s].update(range(seqs[s][1][a], seqs[s][1][a + best - 1] + 1))
+    return ["\n".join(x for i, x in enumerate(lines) if i not in g) for (lines, _), g in zip(seqs, gone)]
+
+
+def test_line_dedup_matches_brute_force(spark, odd_documents, no_documents):
+    docs = table(spark, SF, "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    for min_words in (8, 50):
+        found = {r["doc_id"]: r["text"] for r in linededup.without_repeats(docs, min_words).select("row.doc_id", "text").collect()}
+        assert [found[d] for d, _ in rows] == _without_later_copies(rows, min_words)
+    odd = linededup.without_repeats(odd_documents).select("row.doc_id", "text", "changed").collect()
+    assert len(odd) == odd_documents.count()
+    by_id = {r["doc_id"]: r["text"] for r in odd if r["doc_id"] is not None}
+    assert by_id[9].startswith("first line") and by_id[10] == "\nanother end" and by_id[5] is None and by_id[2] == ""
+    assert linededup.without_repeats(no_documents).count() == 0
+
+
+def test_base_spans_follow_the_patterns(spark, odd_documents, no_documents):
+    patterns = [
+        ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+        ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
+    ]
+    docs = odd_documents.select("doc_id", "text", "source").unionByName(table(spark, SF, "documents").select("doc_id", "text", "source"))
+    want = Counter()
+    for r in docs.collect():
+        spans = [
+            (m.start(), n, f"{kind}:{m.start()}:{m.end()}")
+            for n, (kind, pattern, group, least) in enumerate(patterns)
+            for m in pattern.finditer(r["text"] or "")
+            if len(m[group]) >= least
+        ]
+        want[(r["doc_id"], ",".join(s for *_, s in sorted(spans)))] += 1
+    found = secrets.find_secrets(docs).collect()
+    assert want == Counter((r["doc_id"], ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["base"])) for r in found)
+    assert secrets.find_secrets(no_documents).count() == 0
+
+
+def test_widely_copied_values_are_not_live(spark):
+    rows = [(n, "password = copiedcopied1 " + f"token: own{n}own{n}own{n}", f"s{n}") for n in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in secrets.find_secrets(docs).collect():
+        assert [(s["live"], s["owners"]) for s in r["spans"]] == [(False, 5), (True, 1)]
+
+
+def test_classifiers_on_held_out_rows(spark, odd_documents, no_documents):
+    sf = "/root/testdata/sf0.01"
+    for name, label, least in (("op3_quality", "quality", 0.95), ("op9_toxicity", "toxic", 0.9)):
+        scored = queries.QUERIES[name](spark, sf)
+        labels = table(spark, sf, "labels")
+        held = scored.join(labels, "doc_id").filter("held_out").select((F.col("predicted") == F.col(label)).cast("int").alias("right"))
+        assert held.agg(F.avg("right")).first()[0] >= least
+        kind = quality if label == "quality" else toxicity
+        model = kind.train(table(spark, sf, "documents"), labels)
+        scores = [r["s"] for r in odd_documents.select(kind.score(model).alias("s")).collect()]
+        assert len(scores) == odd_documents.count() and all(0 <= s <= 1 for s in scores)
+        untaught = kind.train(no_documents, labels)
+        assert no_documents.select(kind.score(untaught).alias("s")).count() == 0
+
+
+def test_offending_sentences_are_located(spark):
+    texts = [(n, f"Fine words here {n}. You vile thing. More words." if n % 2 else f"Fine words here {n}. More words.") for n in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    for r in toxicity.offending(docs, model).collect():
+        assert texts[r["doc_id"]][1][r["start"] : r["end"]].strip() == "You vile thing"
+    assert toxicity.offending(docs, model).count() == 100
