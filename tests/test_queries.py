@@ -5,8 +5,9 @@ from compare import differences
 from conftest import SF
 
 import __spark_entry__ as contract
+from tidegrid import catalog, oracles
 
-SQL = contract.oracle_sql()
+SQL = oracles.build()
 ROWS_ONLY = {
     "hac_regression_expanded", "linear_walk_forward", "logistic_walk_forward", "walk_forward_metrics",
     "placebo_ridge", "horizon_metrics", "gbt_grid_search", "gbt_holdout", "holdout_evaluation",
@@ -14,8 +15,8 @@ ROWS_ONLY = {
 
 
 def test_registry():
-    assert set(contract.queries()) - set(SQL) == ROWS_ONLY
-    assert set(SQL) <= set(contract.queries())
+    assert set(catalog.QUERIES) - set(SQL) == ROWS_ONLY
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
