@@ -30,7 +30,7 @@ from tidegrid.llm.vectors import keys, matrix, sample, takes_part
 TREES = 10
 SAMPLE_ROWS = 20_000
 LEAF = 512
-SEARCH_SHARE = 1.1
+SEARCH_SHARE = 1.8
 CHUNK = 8192
 
 
