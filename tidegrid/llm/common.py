@@ -20,9 +20,20 @@ def kept(frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
     Later stages read it instead of the work before it, also after an executor is lost.
     """
+    return kept_at(frame, name, compression)[0]
+
+
+def kept_at(frame: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """As ``kept``, with the path, for tables that ``release`` removes once nothing reads them."""
     path = scratch_path(frame.sparkSession, name)
     frame.write.option("compression", compression).parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a kept table; call it only when all that was derived from it is kept itself."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_of(column: str = "text") -> Column:

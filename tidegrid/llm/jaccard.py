@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegrid.llm.common import kept
+from tidegrid.llm.common import kept, kept_at, release
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import mixed, shingle_sets
 
@@ -98,8 +98,8 @@ def point(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).astype("<u4")
 
 
-def _points(docs: DataFrame, size: int, rule: Rule) -> DataFrame:
-    """(d, th, doc_id, n, node, check, cells, counts) for every row."""
+def _points(docs: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, str]:
+    """(d, th, doc_id, n, node, check, cells, counts) for every row, and where they are written."""
 
     def run(batches):
         for batch in batches:
@@ -128,7 +128,7 @@ def _points(docs: DataFrame, size: int, rule: Rule) -> DataFrame:
             pa.default_memory_pool().release_unused()
 
     schema = "d long, th long, doc_id long, n long, node long, check long, cells array<long>, counts binary"
-    return kept(keyed(docs).select("d", "th", "doc_id", "text").mapInArrow(run, schema), "points")
+    return kept_at(keyed(docs).select("d", "th", "doc_id", "text").mapInArrow(run, schema), "points")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -295,10 +295,11 @@ def similar(docs: DataFrame, words: int = 5, numerator: int = 4, denominator: in
     ``component`` is null for rows without words; ``component_id`` is the least id of the component.
     """
     rule = Rule(numerator, denominator)
-    points = _points(docs, words, rule)
+    whole, whole_path = _points(docs, words, rule)
+    points = kept(whole.drop("cells", "counts"), "rows")
     full = points.filter(F.col("n") > 0)
-    nodes = kept(
-        full.groupBy("node", "check").agg(
+    nodes, nodes_path = kept_at(
+        whole.filter(F.col("n") > 0).groupBy("node", "check").agg(
             F.first("n").alias("n"),
             F.min(F.struct("d", "th")).alias("own"),
             F.min("doc_id").alias("least"),
@@ -307,6 +308,7 @@ def similar(docs: DataFrame, words: int = 5, numerator: int = 4, denominator: in
         ).drop("check"),
         "nodes",
     )
+    release(docs.sparkSession, whole_path)  # cells are large: they go as soon as they are used
     each = nodes.select("node", F.explode("cells").alias("cell"))
     members = kept(
         each.withColumn("held", F.count("*").over(W.partitionBy("cell"))).filter(F.col("held") > 1), "members"
@@ -322,6 +324,8 @@ def similar(docs: DataFrame, words: int = 5, numerator: int = 4, denominator: in
     )
     # members alone have partners: later joins read their points only
     indexed = kept(weight.select("node").join(nodes.select("node", "own.d", "own.th", "n", "counts"), "node"), "indexed")
+    named = kept(nodes.select("node", "least"), "named")
+    release(docs.sparkSession, nodes_path)
     sets = _sets(docs, indexed.select("node", "d", "th"), words)
     links = _verified(_bounded(stars, indexed, rule), sets, rule)
     roots, every = components(links), False
@@ -335,7 +339,7 @@ def similar(docs: DataFrame, words: int = 5, numerator: int = 4, denominator: in
         if every:
             break
         every = not found
-    placed = nodes.join(roots.select(F.col("id").alias("node"), "component"), "node", "left").select(
+    placed = named.join(roots.select(F.col("id").alias("node"), "component"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), "least"
     )
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
