@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from tidegrid.session import scratch_path
 #: Fixed value: a word is a run without space, tab, line feed, vertical tab, form feed or return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Paths written while ``settled`` makes its table; None outside.
+_within: ContextVar[list[str] | None] = ContextVar("within", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +33,9 @@ def kept_at(frame: DataFrame, name: str, compression: str = "zstd") -> tuple[Dat
     """As ``kept``, with the path, for tables that ``release`` removes once nothing reads them."""
     path = scratch_path(frame.sparkSession, name)
     frame.write.option("compression", compression).parquet(path)
+    written = _within.get()
+    if written is not None:
+        written.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path), path
 
 
@@ -36,6 +45,23 @@ def release(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Keep the table that ``make`` returns and delete those it kept on the way.
+
+    The result is written before anything goes, so that a lost executor cannot ask for the deleted tables.
+    """
+    written: list[str] = []
+    outer = _within.set(written)
+    try:
+        made = make()
+    finally:
+        _within.reset(outer)
+    result = kept(made, name)
+    for path in written:
+        release(spark, path)
+    return result
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

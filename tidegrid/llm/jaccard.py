@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegrid.llm.common import kept, kept_at, release
+from tidegrid.llm.common import kept, kept_at, release, settled
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import mixed, shingle_sets
 
@@ -356,7 +356,11 @@ def deduplicated(docs: DataFrame, words: int = 5, numerator: int = 4, denominato
 
     Rows without words all stay. Of rows that repeat id and text one stays.
     """
-    rows = kept(similar(docs, words, numerator, denominator).filter(F.col("component").isNotNull()), "similar")
+    rows = settled(
+        docs.sparkSession,
+        lambda: similar(docs, words, numerator, denominator).filter(F.col("component").isNotNull()),
+        "similar",
+    )
     first = rows.groupBy("component").agg(F.min(F.struct("d", "th")).alias("own"))
     stays = first.select("own.d", "own.th", F.lit(True).alias("stays"))
     counted = rows.groupBy("d", "th").agg(F.count("*").alias("copies"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidegrid.functions.ordering import running_totals
-from tidegrid.llm.common import kept
+from tidegrid.llm.common import kept, settled
 
 MIN_WORDS = 50
 #: Stands for a null id in joins; sorts last.
@@ -159,7 +159,7 @@ def _cut(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, text, changed): each input row as a struct, its text without later copies."""
     keyed = _keyed(docs)
-    ranges = kept(later_copies(docs, min_words), "copies")
+    ranges = settled(docs.sparkSession, lambda: later_copies(docs, min_words), "copies")
     # the ranges grow with the texts: both sides are shuffled at every size, never broadcast
     joined = keyed.join(ranges.hint("merge"), ["d", "th"], "left")
     changed = F.col("ranges").isNotNull()
