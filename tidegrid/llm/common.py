@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,32 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     return result
 
 
+#: What operators keep from task to task in a Python worker: owner and how to empty it.
+WORKER_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def give_back(owner: str = "") -> None:
+    """Return a worker's freed memory to the system; caches of other owners go first.
+
+    Workers outlive stages: without this, each keeps the most that any stage has needed.
+    """
+    for name, clear in WORKER_CACHES.items():
+        if name != owner:
+            clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(batches: Iterator, owner: str = "") -> Iterator:
+    """The batches of one task, giving memory back before the first and after the last."""
+    give_back(owner)
+    yield from batches
+    give_back(owner)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegrid.llm.common import kept, kept_at, release, settled
+from tidegrid.llm.common import kept, kept_at, lean, release, settled
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import mixed, shingle_sets
 
@@ -102,7 +102,7 @@ def _points(docs: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, str]:
     """(d, th, doc_id, n, node, check, cells, counts) for every row, and where they are written."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 n, node, check, cells, counts = [], [], [], [], []
@@ -142,7 +142,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, tokens) of the wanted (d, th, node), recomputed from the texts of their representatives."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 tokens = [t.astype("<u8").tobytes() for t in shingle_sets(part.column("text").to_pylist(), size)]
@@ -158,7 +158,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose summed coordinate minima suffice."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             a, b = (_matrix(batch.column(name)) for name in ("ca", "cb"))
             n = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             fits = np.minimum(a, b).sum(axis=1) >= rule.needed(*n)
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose sets link."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             fits = []
             for a, b in zip(batch.column("ta"), batch.column("tb")):
                 x, y = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
@@ -251,7 +251,7 @@ def _tree_pairs(open_members: DataFrame, rule: Rule, every: bool) -> DataFrame:
             yield held, np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [held.num_rows]])
 
     def run(batches):
-        for rows, borders in blocks(batches):
+        for rows, borders in blocks(lean(batches)):
             node, component, sizes, chunk, i, j = (
                 rows.column(name).to_numpy() for name in ("node", "component", "n", "chunk", "i", "j")
             )

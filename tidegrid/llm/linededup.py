@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidegrid.functions.ordering import running_totals
-from tidegrid.llm.common import kept, settled
+from tidegrid.llm.common import kept, lean, settled
 
 MIN_WORDS = 50
 #: Stands for a null id in joins; sorts last.
@@ -63,7 +63,7 @@ def _sequences(docs: DataFrame, min_words: int) -> DataFrame:
     run_type = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             ids, runs = [], []
             for text in batch.column("text").to_pylist():
                 _, own, found = line_runs(text or "", min_words)
@@ -152,7 +152,7 @@ def _without(text: str, ranges) -> str:
 
 @F.pandas_udf(StringType())
 def _cut(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, ranges in series:
+    for texts, ranges in lean(series):
         yield pd.Series([None if t is None or r is None else _without(t, r) for t, r in zip(texts, ranges)], dtype=object)
 
 

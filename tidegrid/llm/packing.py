@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import kept
+from tidegrid.llm.common import kept, lean
 from tidegrid.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
     """(doc_id, piece, start, length, ids) of every text; ids as unsigned 32-bit little-endian bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches, "tokens"):
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids")}
             for doc_id, ids in zip(doc_ids, encoder(tokenizer).encode(texts)):

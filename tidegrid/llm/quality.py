@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import lean
 from tidegrid.llm.labels import labelled_sample
 
 PASSAGE_WORDS = 100
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     """Passages of the sample are measured on the executors; the driver fits on at most ``sample_rows`` bags."""
 
     def measure(batches):
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 200):
                 x, bags = passages(texts[at : at + 200])
@@ -182,7 +183,7 @@ def score(model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for each in series:
+        for each in lean(series):
             yield pd.Series(model.scores([t if isinstance(t, str) else None for t in each]))
 
     return run(F.col(text).cast("string"))

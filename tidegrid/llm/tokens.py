@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from tidegrid.llm.common import WORKER_CACHES
+
 CACHED_WORDS = 350_000
 CHUNK_CHARS = 500_000
 
@@ -124,6 +126,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+WORKER_CACHES["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> WordEncoder:
