@@ -38,14 +38,15 @@ def test_asof_equals_binary_search(spark, slice_rows):
     assert got[len(targets)] == (None, None) and len(got) == len(targets) + 1
 
 
-def test_asof_by_shuffled_slices(spark, monkeypatch):
-    monkeypatch.setattr(asof, "BROADCAST_ROWS", 0)
+@pytest.mark.parametrize("slice_rows", [10, 2_000_000])
+def test_equal_requests_all_get_an_answer(spark, slice_rows):
     events = trades(spark, [("spot", i * SECOND, i, 100 + i, 1, False) for i in range(50)])
-    index = asof.index_events(events, ("symbol", "date"), slice_rows=10)
-    assert index.hot is not None and not index.hot_is_small
-    out = asof.first_at_or_after(_requests(spark, [i * SECOND for i in range(60)]), index, "target", "hit")
+    index = asof.index_events(events, ("symbol", "date"), slice_rows=slice_rows)
+    requests = _requests(spark, [i * SECOND for i in range(60)])
+    out = asof.first_at_or_after(requests.unionByName(requests).unionByName(requests), index, "target", "hit")
     got = [r["hit_time_ns"] for r in out.orderBy("n").collect()]
-    assert got == [DAY0 + i * SECOND for i in range(50)] + [None] * 10
+    want = [DAY0 + i * SECOND for i in range(50)] + [None] * 10
+    assert got == [time for time in want for _ in range(3)]
 
 
 def test_nothing_matches_across_days(spark):
@@ -132,6 +133,19 @@ def test_loss_limit_stops_and_resumes(spark):
     assert got == [("d1", 1), ("d1", 2), ("d1", 20), ("d2", 1)]
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_loss_limit_equals_a_walk_in_entry_order(seed):
+    rng = np.random.default_rng(seed)
+    entry = np.sort(rng.integers(0, 60, 80))
+    leave = entry + rng.integers(1, 15, 80)
+    net = rng.integers(-5, 6, 80) / 4.0
+    want = np.zeros(80, bool)
+    for i in range(80):
+        closed = want & (leave <= entry[i])
+        want[i] = net[closed].sum() > -2.0
+    assert (ledger.within_limit(entry, leave, net, 2.0) == want).all()
+
+
 def test_daily_pnl_keeps_empty_days_and_reconciles(spark):
     trades_ = spark.createDataFrame(
         [("a", "2024-01-01", 1.0, 0.3, 0.1, 0.2, 60.0), ("a", "2024-01-03", 0.5, -0.2, 0.1, -0.3, 30.0)],

@@ -27,4 +27,4 @@ def test_query_matches_sql(spark, name):
 
 def test_entry(spark):
     frame = contract.entry(spark)
-    assert len(frame.columns) == 4 + 157 + 4 and frame.count() > 0
+    assert len(frame.columns) == 4 + 157 + 6 and frame.count() > 0

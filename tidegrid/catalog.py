@@ -27,13 +27,13 @@ GRID = GridParams(
     base_interval_ms=900_000,
     decision_interval_ms=HOUR_MS,
     windows_ms=(900_000, 1_800_000, HOUR_MS, 2 * HOUR_MS, 4 * HOUR_MS),
-    label_horizons_ms=(HOUR_MS, 2 * HOUR_MS),
+    label_horizons_ms=(HOUR_MS, 2 * HOUR_MS, 4 * HOUR_MS),
     basis_z_window_ms=4 * HOUR_MS,
     feature_lag_bars=1,
 )
 SETS = FeatureSets(short_ms=HOUR_MS, long_ms=2 * HOUR_MS, z_ms=4 * HOUR_MS)
 EXECUTION = ExecutionParams(
-    latencies_ms=(60_000, 300_000, 900_000),
+    latencies_ms=(60_000, 300_000, 600_000, 900_000, 1_800_000),
     primary_latency_ms=300_000,
     holding_seconds=3_600,
     daily_loss_limit=0.5,
@@ -51,7 +51,7 @@ INITIAL_DAYS, EVALUATION_DAYS = 10, 5
 PURGE_SECONDS = 7_200
 STRIDE_NS = 2 * HOUR_MS * NS_PER_MS
 PLACEBO_ROWS = 900
-BOOTSTRAP = {"replicates": 1_000, "seed": 20240101}
+BOOTSTRAP = {"replicates": 2_000, "seed": 20240101}
 RIDGE_ALPHA = 1.0
 TREE_GRID = trees.tree_grid(depths=(2, 3), counts=(3, 6))
 

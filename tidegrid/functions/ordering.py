@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.session import checkpointed, small_or_lazy
+from tidegrid.session import checkpointed, stored
 
 
 def running_totals(
@@ -105,7 +105,7 @@ def exact_medians(
             for c in columns
         )
     )
-    brackets, _ = small_or_lazy(sketches.select(*groups, F.inline(F.array(*columns))))
+    brackets = stored(sketches.select(*groups, F.inline(F.array(*columns))), "brackets")
     long = unpivot(frame, groups, columns)
     value = F.col("value")
     low, high = F.col("_bracket")[0], F.col("_bracket")[1]

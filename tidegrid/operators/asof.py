@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.bars import event_order
 from tidegrid.params import NS_PER_SECOND
-from tidegrid.session import small_or_lazy
+from tidegrid.session import stored
 
 HIT = ("event_time_ns", "aggregate_trade_id", "price")
-BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -22,13 +21,12 @@ class EventIndex:
     """Events cut into time buckets, with each bucket's first event and the crowded buckets.
 
     ``hot`` is None when no bucket exceeds ``slice_rows``; otherwise it holds (keys, bucket,
-    slices), marked for broadcast when ``hot_is_small``.
+    slices) as a stored table, whose true size lets the planner choose the join.
     """
 
     events: DataFrame
     firsts: DataFrame
     hot: DataFrame | None
-    hot_is_small: bool
     keys: tuple[str, ...]
     bucket_ns: int
 
@@ -46,9 +44,7 @@ def index_events(
     """Prepare events for any number of as-of lookups.
 
     Counting rows per bucket (one map-side combined pass over three columns) finds buckets too
-    large for one task. At most rows/slice_rows buckets can be that large; up to
-    ``BROADCAST_ROWS`` of them are brought to the driver and broadcast, beyond that they are
-    joined by a shuffle.
+    large for one task. At most rows/slice_rows buckets can be that large.
     """
     placed = events.select(
         *keys, *HIT, bucket_of(F.col("event_time_ns"), bucket_ns).alias("_bucket")
@@ -67,9 +63,8 @@ def index_events(
     slices = crowded.select(
         *keys, "_bucket", F.ceil(F.col("count") / slice_rows).cast("int").alias("_slices")
     )
-    hot, small = small_or_lazy(slices, BROADCAST_ROWS)
-    nothing = small and hot.isEmpty()
-    return EventIndex(placed, firsts, None if nothing else hot, small, tuple(keys), bucket_ns)
+    hot = stored(slices, "crowded-buckets")
+    return EventIndex(placed, firsts, None if hot.isEmpty() else hot, tuple(keys), bucket_ns)
 
 
 def first_at_or_after(requests: DataFrame, index: EventIndex, target: str, prefix: str) -> DataFrame:
@@ -79,7 +74,8 @@ def first_at_or_after(requests: DataFrame, index: EventIndex, target: str, prefi
     crosses a day when the date is a key. Rows stay in their time bucket: a request first
     looks at later events of its own bucket, then at the first event of the next non-empty
     bucket. A crowded bucket is split by a hash of the event; its requests visit every slice
-    and keep the earliest hit. Requests must be distinct rows.
+    and keep the earliest hit. Equal requests are looked up once, whatever the bucket's size, and
+    all of them are answered.
     """
     keys, bucket = list(index.keys), [*index.keys, "_bucket"]
     # A NULL target (nothing to look up) never matches and must not order before real events.
@@ -89,6 +85,7 @@ def first_at_or_after(requests: DataFrame, index: EventIndex, target: str, prefi
         F.col(target).alias("_at"),
         F.struct(*requests.columns).alias("_request"),
     )
+    asked = asked.groupBy(*asked.columns).agg(F.count("*").cast("int").alias("_copies"))
     later = W.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(
         W.unboundedPreceding, -1
     )
@@ -117,7 +114,7 @@ def first_at_or_after(requests: DataFrame, index: EventIndex, target: str, prefi
     ).rowsBetween(W.unboundedPreceding, W.currentRow)
     # The request's columns travel as one struct, which is a single NULL on the many event rows.
     both = requested.select(
-        *slice_keys, "_at", F.lit(1).alias("_asks"), F.lit(0).cast("long").alias("_id"), "_request"
+        *slice_keys, "_at", F.lit(1).alias("_asks"), F.lit(0).cast("long").alias("_id"), "_request", "_copies"
     ).unionByName(
         events.select(
             *slice_keys,
@@ -134,9 +131,10 @@ def first_at_or_after(requests: DataFrame, index: EventIndex, target: str, prefi
     )
     hits = both.withColumn("_hit", F.last_value(event, True).over(backward)).where("_asks = 1")
     if index.hot is not None:
-        hits = hits.groupBy(*bucket, "_request").agg(F.min("_hit").alias("_hit"))
+        hits = hits.groupBy(*bucket, "_request", "_copies").agg(F.min("_hit").alias("_hit"))
     hit = F.coalesce("_hit", "_next")
-    answered = hits.join(following, bucket, "left").select(
+    each = F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")
+    answered = hits.join(following, bucket, "left").select("_request", "_hit", "_next", each).select(
         *(F.col(f"_request.{name}").alias(name) for name in requests.columns),
         hit["event_time_ns"].alias(f"{prefix}_time_ns"),
         hit["price"].alias(f"{prefix}_price"),

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str, shuffle_partitions: int, app_name: str = "tidegrid") -> SparkSession:
@@ -74,15 +73,3 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
-def small_or_lazy(frame: DataFrame, limit: int = 100_000) -> tuple[DataFrame, bool]:
-    """A frame of at most ``limit`` rows as a local table marked for broadcast, else itself.
-
-    The size is measured, not assumed: one row more than the limit and the caller's join is an
-    ordinary shuffle join. Only for results of aggregations with a few narrow columns.
-    """
-    rows = frame.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return frame, False
-    return F.broadcast(frame.sparkSession.createDataFrame(rows, frame.schema)), True
