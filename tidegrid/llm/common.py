@@ -15,6 +15,9 @@ from tidegrid.session import scratch_path
 #: Fixed value: a word is a run without space, tab, line feed, vertical tab, form feed or return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark deletes the shuffle files of a query when it ends; otherwise they stay until the driver's garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths written while ``settled`` makes its table; None outside.
 _within: ContextVar[list[str] | None] = ContextVar("within", default=None)
 
@@ -33,12 +36,17 @@ def kept(frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def kept_at(frame: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """As ``kept``, with the path, for tables that ``release`` removes once nothing reads them."""
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.option("compression", compression).parquet(path)
+    spark = frame.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     written = _within.get()
     if written is not None:
         written.append(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+    return spark.read.schema(frame.schema).parquet(path), path
 
 
 def release(spark: SparkSession, path: str) -> None:
