@@ -275,6 +275,20 @@ def test_hac_errors_over_blocks(spark, block_rows):
     assert out["observations"].unique().tolist() == [len(known)]
 
 
+def test_hac_answers_for_constant_and_empty_features(spark):
+    table = _model_table()
+    names = list(SETS.expanded[:3])
+    plain = inference.hac_regression(_spark_table(spark, table), "symbol", names[:1], "y", 4).toPandas()
+    table[names[1]], table[names[2]] = 3.7, np.nan
+    out = inference.hac_regression(_spark_table(spark, table), "symbol", names, "y", 4).toPandas()
+    out, plain = out.set_index("term"), plain.set_index("term")
+    for term in ("intercept", names[0]):
+        for column in ("coefficient", "standard_error", "p_value"):
+            assert out.loc[term, column] == pytest.approx(plain.loc[term, column], rel=1e-6)
+    assert out.loc[names[1], "coefficient"] == 0 and np.isnan(out.loc[names[1], "t_value"])
+    assert np.isnan(out.loc[names[2], "coefficient"]) and np.isnan(out.loc[names[2], "standard_error"])
+
+
 def test_placebo_rotates_only_the_additions(spark):
     table = _model_table()
     frame = _spark_table(spark, table)

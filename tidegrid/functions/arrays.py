@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sum_arrays(frame: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
-    """{key: element-wise sum of the array column ``m``}.
-
-    Elements are summed on the executors; the driver receives one short array per key.
-    """
+def array_sums(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, m): the element-wise sum of the array column ``m`` of each key."""
     summed = frame.select(*keys, F.posexplode("m")).groupBy(*keys, "pos").agg(F.sum("col").alias("v"))
-    packed = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("m"))
+    packed = F.sort_array(F.collect_list(F.struct("pos", "v")))
+    return summed.groupBy(*keys).agg(packed["v"].alias("m"))
+
+
+def sum_arrays(frame: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
+    """{key: element-wise sum of the array column ``m``}, for keys that are few."""
     return {
-        tuple(row[k] for k in keys): np.array([entry["v"] for entry in row["m"]])
-        for row in packed.collect()
+        tuple(row[k] for k in keys): np.array(row["m"], float) for row in array_sums(frame, keys).collect()
     }

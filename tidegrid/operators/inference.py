@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.functions.arrays import sum_arrays
+from tidegrid.functions.arrays import array_sums
 from tidegrid.functions.ordering import exact_medians
 from tidegrid.session import checkpointed
 
@@ -66,9 +66,35 @@ def indexed_rows(frame: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def _normal_two_sided(t: float) -> float:
+    if math.isnan(t):
+        return math.nan
     return math.erfc(abs(t) / math.sqrt(2.0)) if math.isfinite(t) else 0.0
 
 
+#: A feature whose variance is below this share of its mean square has no variation but rounding.
+CONSTANT = 1e-12
+
+
+def solve_standardised(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(means, deviations, coefficients, inverse, rows) from the cross products of [1, features, target].
+
+    Features are standardised inside the products. A constant feature becomes a column of zeros, and
+    the pseudo-inverse gives it a coefficient of zero, as it shares out equal columns.
+    """
+    width = len(gram) - 1
+    count = gram[0, 0]
+    mean = gram[0, 1:width] / count
+    square = np.diag(gram)[1:width] / count
+    variance = square - mean**2
+    varies = variance > CONSTANT * square
+    spread = np.where(varies, np.sqrt(np.where(varies, variance, 1.0)), 1.0)
+    change = np.eye(width)
+    change[0, 1:] = np.where(varies, -mean / spread, 0.0)
+    change[1:, 1:] = np.diag(np.where(varies, 1 / spread, 0.0))
+    inverse = np.linalg.pinv(change.T @ gram[:width, :width] @ change, hermitian=True)
+    return mean, spread, inverse @ (change.T @ gram[:width, width]), inverse, int(round(count))
+
+
 def hac_regression(
     frame: DataFrame, group: str, features: Sequence[str], target: str, max_lags: int,
     block_rows: int = 50_000,
@@ -78,23 +104,20 @@ def hac_regression(
     Three distributed steps: exact medians; one pass for the cross products; and, with the
     coefficients known, lagged products over blocks of consecutive rows. A block also receives
     the last ``max_lags`` rows of the block before it, so no product across a block edge is
-    lost and no task sees more than a block. The driver only handles (features+1)^2 numbers
-    per group and lag.
+    lost and no task sees more than a block. Sums, fits and errors stay tables; nothing is collected.
+    A constant feature has the coefficient and error zero and no t value; for a feature without any
+    value both are NULL.
     """
-    spark = frame.sparkSession
     names = list(features)
     width = len(names) + 1
     rows = frame.where(F.col(target).isNotNull())
     kind = dict(frame.dtypes)[group]
-    medians: dict = {}
-    for row in exact_medians(rows, [group], names).collect():
-        medians.setdefault(row[group], {})[row["name"]] = row["median"]
-    fill = pd.DataFrame(
-        [{group: key, **{f"_m_{n}": values[n] for n in names}} for key, values in medians.items()]
+    medians = exact_medians(rows, [group], names).groupBy(group).agg(
+        *(F.max(F.when(F.col("name") == n, F.col("median"))).alias(f"_m_{n}") for n in names)
     )
-    filled = rows.join(F.broadcast(spark.createDataFrame(fill)), group).select(
+    filled = rows.join(medians, group).select(
         group, "date", "decision_time_ns", F.col(target).cast("double").alias("_y"),
-        *(F.coalesce(F.col(n).cast("double"), F.col(f"_m_{n}")).alias(n) for n in names),
+        *(F.coalesce(F.col(n).cast("double"), F.col(f"_m_{n}"), F.lit(0.0)).alias(n) for n in names),
     )
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,31 +126,32 @@ def hac_regression(
                 x = np.column_stack([np.ones(len(part)), part[names].to_numpy(float), part["_y"]])
                 yield pd.DataFrame({group: [key], "m": [(x.T @ x).ravel().tolist()]})
 
-    sums = sum_arrays(
-        filled.mapInPandas(products, f"{group} {kind}, m array<double>"), [group]
-    )
-    fits: dict = {}
-    for key, flat in sums.items():
-        gram = np.asarray(flat).reshape(width + 1, width + 1)
-        count = gram[0, 0]
-        mean = gram[0, 1:width] / count
-        spread = np.sqrt(np.maximum(np.diag(gram)[1:width] / count - mean**2, 0.0))
-        spread[spread == 0] = 1.0
-        # Standardising is linear, so the Gram of the standardised design follows from T.
-        change = np.eye(width)
-        change[0, 1:] = -mean / spread
-        change[1:, 1:] = np.diag(1 / spread)
-        xx = change.T @ gram[:width, :width] @ change
-        xy = change.T @ gram[:width, width]
-        fits[key[0]] = (mean, spread, np.linalg.solve(xx, xy), np.linalg.inv(xx), int(round(count)))
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, flat in zip(batch[group], batch["m"]):
+                mean, spread, beta, inverse, count = solve_standardised(np.asarray(flat).reshape(width + 1, width + 1))
+                out.append((key, mean.tolist(), spread.tolist(), beta.tolist(), inverse.ravel().tolist(), count))
+            yield pd.DataFrame(out, columns=[group, "mean", "spread", "beta", "inverse", "count"])
+
+    sums = array_sums(filled.mapInPandas(products, f"{group} {kind}, m array<double>"), [group])
+    numbers = ", ".join(f"{n} array<double>" for n in ("mean", "spread", "beta", "inverse"))
+    # One row per group, read by the lagged products and by the errors.
+    fits = checkpointed(sums.mapInPandas(fit, f"{group} {kind}, {numbers}, count long"))
+
     block = F.floor(F.col("_index") / block_rows)
     late = F.pmod("_index", F.lit(block_rows)) >= block_rows - max_lags
-    blocked = indexed_rows(filled, group, "decision_time_ns").withColumn(
+    indexed = indexed_rows(filled, group, "decision_time_ns")
+    blocked = indexed.withColumn(
         "_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block)))
     )
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("count") / block_rows)))
+    by_block = fits.select(group, "mean", "spread", "beta", blocks.alias("_block"))
 
-    def lagged(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
-        mean, spread, beta, _, _ = fits[key[0]]
+    def lagged(key: tuple[Any, ...], part: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or fitted.empty:
+            return pd.DataFrame({group: [], "lag": [], "m": []})
+        mean, spread, beta = (np.asarray(fitted[n].iloc[0]) for n in ("mean", "spread", "beta"))
         part = part.sort_values("_index")
         x = np.column_stack([np.ones(len(part)), (part[names].to_numpy(float) - mean) / spread])
         scores = x * (part["_y"].to_numpy() - x @ beta)[:, None]
@@ -136,30 +160,42 @@ def hac_regression(
         for lag in range(max_lags + 1):
             here = np.flatnonzero(own)
             here = here[here - lag >= 0]
-            out.append((lag, (scores[here].T @ scores[here - lag]).ravel().tolist()))
-        return pd.DataFrame({group: key[0], "lag": [a for a, _ in out], "m": [b for _, b in out]})
+            out.append((scores[here].T @ scores[here - lag]).ravel().tolist())
+        return pd.DataFrame({group: key[0], "lag": range(len(out)), "m": out})
 
-    gammas = sum_arrays(
-        blocked.groupBy(group, "_block").applyInPandas(
+    gammas = array_sums(
+        blocked.groupBy(group, "_block").cogroup(by_block.groupBy(group, "_block")).applyInPandas(
             lagged, f"{group} {kind}, lag int, m array<double>"
         ),
         [group, "lag"],
     )
-    result = []
-    for key, (_, _, beta, inverse, count) in fits.items():
-        meat = np.zeros((width, width))
-        for lag in range(max_lags + 1):
-            gamma = np.asarray(gammas[(key, lag)]).reshape(width, width)
-            weight = 1.0 - lag / (max_lags + 1.0)
-            meat += gamma if lag == 0 else weight * (gamma + gamma.T)
-        error = np.sqrt(np.diag(inverse @ meat @ inverse))
-        for i, term in enumerate(["intercept", *names]):
-            t = beta[i] / error[i]
-            result.append(
-                (key, term, float(beta[i]), float(error[i]), float(t), _normal_two_sided(t), count, max_lags)
-            )
+    lags = gammas.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("lag", "m")))["m"].alias("lags"))
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                beta, inverse = np.asarray(row.beta), np.asarray(row.inverse).reshape(width, width)
+                meat = np.zeros((width, width))
+                for lag, flat in enumerate(row.lags):
+                    gamma = np.asarray(flat).reshape(width, width)
+                    meat += gamma if lag == 0 else (1.0 - lag / (max_lags + 1.0)) * (gamma + gamma.T)
+                error = np.sqrt(np.maximum(np.diag(inverse @ meat @ inverse), 0.0))
+                key = getattr(row, group)
+                for i, term in enumerate(["intercept", *names]):
+                    t = beta[i] / error[i] if error[i] > 0 else math.nan
+                    out.append((key, term, beta[i], error[i], t, _normal_two_sided(t), row.count_, max_lags))
+            yield pd.DataFrame(out, columns=[n.split()[0] for n in schema.split(", ")])
+
     schema = (
         f"{group} {kind}, term string, coefficient double, standard_error double, t_value double, "
         "p_value double, observations long, hac_max_lags int"
     )
-    return spark.createDataFrame(result, schema)
+    solved = fits.withColumnRenamed("count", "count_").join(lags, group).mapInPandas(errors, schema)
+    empty = medians.select(
+        group, F.array_compact(F.array(*(F.when(F.col(f"_m_{n}").isNull(), n) for n in names))).alias("_empty")
+    )
+    known = ~F.array_contains("_empty", F.col("term"))
+    # pandas has NaN for a missing t value
+    value = {n: F.when(known & ~F.isnan(n), F.col(n)) for n in ("coefficient", "standard_error", "t_value", "p_value")}
+    return solved.join(empty, group).withColumns(value).drop("_empty")
