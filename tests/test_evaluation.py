@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import DAY0, SECOND, rows
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tidegrid.functions.ordering import average_ranks, exact_medians, running_totals
 from tidegrid.operators import evaluation, inference, linear, splits
@@ -146,10 +148,14 @@ def test_sealed_periods_are_unreadable(spark):
 
 def test_bootstrap_is_deterministic(spark):
     frame = spark.range(8).selectExpr("id AS day", "CAST(id - 2 AS DOUBLE) AS improvement")
-    a, b = (inference.day_bootstrap(frame, ["day"], 200, 7).first() for _ in range(2))
-    other = inference.day_bootstrap(frame, ["day"], 200, 8).first()
+    a, b = (inference.day_bootstrap(frame, "day", 200, 7).first() for _ in range(2))
+    other = inference.day_bootstrap(frame, "day", 200, 8).first()
     assert a == b and a != other
     assert a["estimate"] == 1.5 and a["lower"] < 1.5 < a["upper"] and a["days"] == 8
+    twice = frame.unionByName(frame.withColumn("improvement", F.col("improvement") + 0.0))
+    assert inference.day_bootstrap(twice, "day", 200, 7).first() == a  # symbols of a day are one block
+    with pytest.raises(PySparkException):
+        inference.day_bootstrap(frame.where("day = 0"), "day", 200, 7).collect()
 
 
 SETS = FeatureSets()

@@ -56,6 +56,7 @@ def test_archives_of_both_markets(spark, tmp_path):
         (f"AAA-spot-{DATE0}.zip", {"a.csv": SPOT.replace("100.5", "cheap")}),
         (f"AAA-spot-{DATE0}.zip", {"a.csv": SPOT.replace(str(MICROS), str(MICROS + 86_400_000_000))}),
         (f"AAA-spot-{DATE0}.zip", {"a.csv": SPOT.replace(str(MICROS), "12345")}),
+        (f"AAA-spot-{DATE0}.zip", {"a.csv": SPOT.replace(str(MICROS) + ",", str(MILLIS) + ",")}),
     ],
 )
 def test_malformed_archives_are_rejected(spark, tmp_path, name, members):
@@ -77,6 +78,10 @@ def test_plain_csv_files(spark, tmp_path):
     assert source.normalise_raw(spot.unionByName(perpetual)).count() == 3
     with pytest.raises(SchemaMismatch):
         archives.read_csv_files(spark, str(tmp_path / "bad"), "perpetual")
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / f"AAA-spot-{DATE0}.csv").write_text(SPOT.replace(f"{MICROS},", f"{MILLIS},"))
+    with pytest.raises(PySparkException, match="mixes timestamp units"):
+        archives.read_csv_files(spark, str(tmp_path / "mixed"), "spot").collect()
 
 
 def test_pack_and_ingest_are_inverse(spark):

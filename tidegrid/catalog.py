@@ -412,7 +412,7 @@ def paired_daily_loss(spark, sf_dir):
 
 
 def day_bootstrap(spark, sf_dir):
-    return rounded(inference.day_bootstrap(_paired(spark, sf_dir), ["date", "symbol"], **BOOTSTRAP))
+    return rounded(inference.day_bootstrap(_paired(spark, sf_dir), "date", **BOOTSTRAP))
 
 
 def regime_metrics(spark, sf_dir):
@@ -462,7 +462,7 @@ def model_selection(spark, sf_dir):
         F.max(F.when(F.col("scope") == "baseline", F.col("oos_r2"))).alias("incumbent_r2"),
         F.max(F.when(F.col("scope") == "expanded", F.col("oos_r2"))).alias("candidate_r2"),
     )
-    interval = inference.day_bootstrap(_paired(spark, sf_dir), ["date", "symbol"], **BOOTSTRAP)
+    interval = inference.day_bootstrap(_paired(spark, sf_dir), "date", **BOOTSTRAP)
     return rounded(evaluation.model_selection(wide, interval, 0.001))
 
 

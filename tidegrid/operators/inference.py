@@ -17,17 +17,20 @@ from tidegrid.functions.ordering import exact_medians
 from tidegrid.session import checkpointed
 
 
-def day_bootstrap(improvements: DataFrame, order: Sequence[str], replicates: int, seed: int) -> DataFrame:
+def day_bootstrap(improvements: DataFrame, day: str, replicates: int, seed: int) -> DataFrame:
     """Percentile interval of the mean of per-day improvements, days drawn with replacement.
 
+    Rows of one day (of several symbols, say) move together, so a day counts as one block with their mean.
     Draw i of replicate r is a hash of (seed, r, i), so every run and every engine draws the
     same days. The work is replicates x days rows, whatever the size of the data behind them.
+    Fewer than two days raise an error.
     """
-    improvements = checkpointed(improvements)  # one row per day; read four times below
+    blocks = improvements.groupBy(day).agg(F.avg("improvement").alias("improvement"))
+    improvements = checkpointed(blocks)  # one row per day; read four times below
     every = W.partitionBy()
     days = improvements.select(
         F.col("improvement"),
-        (F.row_number().over(W.orderBy(*order)) - 1).cast("long").alias("_day"),
+        (F.row_number().over(W.orderBy(day)) - 1).cast("long").alias("_day"),
         F.count("*").over(every).alias("days"),
     )
     hashed = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("replicate"), F.col("draw")))
@@ -47,8 +50,10 @@ def day_bootstrap(improvements: DataFrame, order: Sequence[str], replicates: int
         F.percentile("mean", 0.975).alias("upper"),
         F.avg((F.col("mean") > 0).cast("double")).alias("probability_positive"),
     ).withColumn("_one", F.lit(1))
+    too_few = F.raise_error(F.lit("a bootstrap needs two days or more")).cast("long")
     estimate = improvements.agg(
-        F.avg("improvement").alias("estimate"), F.count("*").alias("days")
+        F.avg("improvement").alias("estimate"),
+        F.when(F.count("*") >= 2, F.count("*")).otherwise(too_few).alias("days"),
     ).withColumn("_one", F.lit(1))
     return estimate.join(interval, "_one").drop("_one")
 

@@ -83,7 +83,7 @@ def search(
             results.append((params.max_depth, params.n_estimators, train_rows, row["n"], row["mse"]))
         except Exception as error:  # a failed candidate is part of the result
             name = f"depth={params.max_depth},trees={params.n_estimators}"
-            failures.append((name, type(error).__name__, str(error)[:500]))
+            failures.append((name, type(error).__name__, str(error)))
     if not results:
         raise RuntimeError("every candidate failed")
     scores = spark.createDataFrame(

@@ -19,6 +19,7 @@ from tidegrid.sources.schema import (
     SchemaMismatch,
     require_columns,
 )
+from tidegrid.sources.trades import one_unit
 
 CHUNK_ROWS = 200_000
 
@@ -41,7 +42,7 @@ def ingest_archives(files: DataFrame) -> DataFrame:
     """Raw text rows (``RAW_TRADES``) of ZIP archives given as (path, content).
 
     An archive must hold exactly one CSV. Spot files have no header and eight columns,
-    perpetual files the exact seven-column header. Members are decompressed and parsed in
+    perpetual files the exact seven-column header. A file has one timestamp unit. Members are decompressed and parsed in
     chunks, so a task holds one compressed archive and one chunk, never a whole table.
     """
     named = files.select(
@@ -63,10 +64,13 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 members = [n for n in archive.namelist() if n.lower().endswith(".csv")]
                 if len(members) != 1:
                     raise SchemaMismatch(f"{row.source_file}: expected one CSV, found {members}")
-                seen = 0
+                seen, digits = 0, set()
                 with archive.open(members[0]) as stream:
                     for chunk in _chunks(stream, row.market_type, row.source_file):
                         seen += len(chunk)
+                        digits |= set(chunk["transact_time"].str.strip().str.len())
+                        if len(digits) > 1:
+                            raise SchemaMismatch(f"{row.source_file}: timestamps of {sorted(digits)} digits, mixed units")
                         identity = {
                             name: getattr(row, name)
                             for name in ("market_type", "symbol", "date", "source_file")
@@ -108,7 +112,7 @@ def read_csv_files(spark: SparkSession, path: str, market: str) -> DataFrame:
         frame = reader.csv(path, schema=schema, header=True, enforceSchema=False)
         frame = frame.withColumnRenamed("agg_trade_id", "aggregate_trade_id")
     named = frame.withColumn("path", F.input_file_name())
-    return named.withColumns(
+    raw = named.withColumns(
         {
             "market_type": F.lit(market),
             "symbol": _name_part(1),
@@ -116,6 +120,7 @@ def read_csv_files(spark: SparkSession, path: str, market: str) -> DataFrame:
             "source_file": F.element_at(F.split("path", "/"), -1),
         }
     ).select(*RAW_TRADES.fieldNames())
+    return one_unit(raw)
 
 
 def pack_archives(raw: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:

@@ -51,10 +51,8 @@ def normalise_raw(raw: DataFrame) -> DataFrame:
     """Parse all-text rows (``RAW_TRADES``) strictly into canonical trades plus ``date``.
 
     ANSI casts raise on malformed numbers; an unknown flag, an unknown timestamp scale or a
-    time outside the row's UTC day raises too. The unit is taken per row: digits grow with the
-    value, so a file whose smallest and largest times share a unit has one unit throughout,
-    and no per-file statistic has to be joined back to the rows. ``timestamp_units`` reports
-    files that mix units.
+    time outside the row's UTC day raises too. The unit is taken per row; that a file has one unit
+    throughout is checked where it is read, while an archive is unpacked or by ``one_unit``.
     """
     flag = F.lower("is_buyer_maker")
     time = to_nanoseconds(F.col("transact_time").cast("long"))
@@ -105,6 +103,17 @@ def timestamp_units(raw: DataFrame) -> DataFrame:
     )
 
 
+def one_unit(raw: DataFrame) -> DataFrame:
+    """``raw``, whose rows raise if their file mixes timestamp units.
+
+    Files are counted first, map-side; the join's small side has one row per rejected file.
+    """
+    mixed = timestamp_units(raw).where(F.col("min_unit") != F.col("max_unit")).select("source_file", "min_unit", "max_unit")
+    said = F.concat("source_file", F.lit(" mixes timestamp units "), "min_unit", F.lit(" and "), "max_unit")
+    checked = F.when(F.col("min_unit").isNull(), F.col("transact_time")).otherwise(F.raise_error(said).cast("string"))
+    return raw.join(mixed, "source_file", "left").withColumn("transact_time", checked).select(*raw.columns)
+
+
 def day_bounds_violations(trades: DataFrame) -> DataFrame:
     """Per (symbol, market, date): rows and rows outside [day, next day)."""
     opening = date_to_ns(F.col("date"))
