@@ -1,3 +1,5 @@
+import pandas as pd
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -39,3 +41,15 @@ def test_filled_stream_has_no_gaps_over_several_batches(spark, tmp_path):
     assert filled.count() == want.count()
     columns = [*names, "decision_time_ns", "last_price", "trade_count"]
     assert rows(filled.select(*columns), *columns[:4]) == rows(want.select(*columns), *columns[:4])
+
+
+def test_late_bars_are_no_silent_loss():
+    names = ["decision_time_ns", "last_price", *stream.ACTIVITY_COLUMNS]
+    bars = pd.DataFrame([[30, 2.0, *(1 for _ in names[2:])], [60, 3.0, *(1 for _ in names[2:])]], columns=names)
+    out = stream.fill_gaps(bars, 10, 1.0, 10)
+    assert out["decision_time_ns"].tolist() == [20, 30, 40, 50, 60]
+    assert out["last_price"].tolist() == [1.0, 2.0, 2.0, 2.0, 3.0]
+    assert out["trade_count"].tolist() == [0, 1, 0, 0, 1]
+    for last in (30, 45, 25):
+        with pytest.raises(ValueError):
+            stream.fill_gaps(bars, last, 1.0, 10)

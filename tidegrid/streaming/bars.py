@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,17 +59,22 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> D
     """Drain the available input into a Parquet table in the shared folder and read it back."""
     spark = stream.sparkSession
     path, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     # State larger than the heap, and states of several variables, need the RocksDB store.
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    query = (
-        stream.writeStream.outputMode(output_mode)
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(output_mode)
+            .format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -81,6 +87,28 @@ def bar_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
+def fill_gaps(bars: pd.DataFrame, time: int, price: float | None, step: int) -> pd.DataFrame:
+    """Bars in order, each preceded by the empty bars after the one before it; the first follows ``time``.
+
+    A bar off the grid or not later than the one before it raises: its place is already written.
+    """
+    times = bars["decision_time_ns"].to_numpy("int64")
+    previous = np.concatenate([[time], times[:-1]])
+    length = (times - previous) // step
+    if (length < 1).any() or ((times - previous) % step).any():
+        at = int(np.flatnonzero((length < 1) | ((times - previous) % step != 0))[0])
+        raise ValueError(f"bar at {times[at]} does not follow {previous[at]}: late, repeated or off the grid")
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    traded = place == np.repeat(length - 1, length)
+    out = bars.iloc[np.repeat(np.arange(len(bars)), length)].reset_index(drop=True)
+    out["decision_time_ns"] = np.repeat(previous, length) + step * (place + 1)
+    before = np.concatenate([[np.nan if price is None else price], bars["last_price"].to_numpy(float)[:-1]])
+    out["last_price"] = np.where(traded, out["last_price"], np.repeat(before, length))
+    for name in ACTIVITY_COLUMNS:
+        out[name] = np.where(traded, out[name], 0).astype(out[name].dtype)
+    return out
+
+
 def make_filler(interval_ms: int):
     """A stateful processor that emits the empty bars between the bars of a day.
 
@@ -99,21 +127,9 @@ def make_filler(interval_ms: int):
             batch = pd.concat(list(rows)).sort_values("decision_time_ns")
             opening = int(batch["decision_time_ns"].iloc[0] - 1) // DAY_NS * DAY_NS
             time, price = self.last.get() if self.last.exists() else (opening, None)
-            out = []
-            for row in batch.itertuples():
-                for empty in range(int(time) + step, int(row.decision_time_ns), step):
-                    out.append((*key, empty, price, *(0.0 for _ in range(4)), *(0 for _ in range(3))))
-                if row.decision_time_ns > time:
-                    out.append(
-                        (*key, int(row.decision_time_ns), row.last_price,
-                         *(getattr(row, n) for n in ACTIVITY_COLUMNS))
-                    )
-                    time, price = int(row.decision_time_ns), float(row.last_price)
-            self.last.update((int(time), price))
-            columns = [*BAR_KEYS, "decision_time_ns", "last_price", *ACTIVITY_COLUMNS]
-            frame = pd.DataFrame(out, columns=columns)
-            frame["last_price"] = frame["last_price"].astype("float64")
-            yield frame
+            yield fill_gaps(batch, int(time), price, step)
+            end = batch.iloc[-1]
+            self.last.update((int(end["decision_time_ns"]), float(end["last_price"])))
 
         def close(self) -> None:
             pass
