@@ -245,3 +245,11 @@ def test_offending_sentences_are_located(spark):
     for r in toxicity.offending(docs, model).collect():
         assert texts[r["doc_id"]][1][r["start"] : r["end"]].strip() == "You vile thing"
     assert toxicity.offending(docs, model).count() == 100
+
+
+def test_packed_sets_keep_overlaps():
+    tokens = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 4000, dtype=np.uint64))
+    left, right = (jaccard.unpacked(jaccard.packed(t)) for t in (tokens[:3000], tokens[1000:]))
+    assert left.tolist() == (tokens[:3000] >> np.uint64(16)).tolist()
+    assert len(np.intersect1d(left, right, assume_unique=True)) == 2000
+    assert len(jaccard.unpacked(jaccard.packed(tokens[:0]))) == 0
