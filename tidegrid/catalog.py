@@ -53,7 +53,7 @@ STRIDE_NS = 2 * HOUR_MS * NS_PER_MS
 PLACEBO_ROWS = 900
 BOOTSTRAP = {"replicates": 2_000, "seed": 20240101}
 RIDGE_ALPHA = 1.0
-TREE_GRID = trees.tree_grid(depths=(2, 3), counts=(3, 6))
+TREE_GRID = trees.tree_grid()
 
 Query = Callable[[SparkSession, str], DataFrame]
 _written: dict = {}
@@ -590,23 +590,25 @@ def _tree_sample(frame: DataFrame) -> DataFrame:
 
 
 def _tree_search(spark, sf_dir) -> DataFrame:
-    development = _between(_features(spark, sf_dir), "development")
-    train, validation = splits.boundary_split(development, "2024-01-11", PURGE_SECONDS)
-    sampled = _tree_sample(train)
-    medians = linear.train_medians(sampled, (), SETS.expanded)[()]
-    scores, _ = trees.search(sampled, validation, SETS.expanded, TARGET, medians, TREE_GRID)
-    return scores
+    def make():
+        development = _between(_features(spark, sf_dir), "development")
+        train, validation = splits.boundary_split(development, "2024-01-11", PURGE_SECONDS)
+        return research.tree_search(_tree_sample(train), validation, SETS.expanded, TARGET, TREE_GRID)
+
+    return _once(spark, sf_dir, "tree_search", make)
 
 
 def gbt_grid_search(spark, sf_dir):
+    """Every candidate of each symbol, failed ones with their error."""
     return rounded(_tree_search(spark, sf_dir))
 
 
 def gbt_holdout(spark, sf_dir):
+    """Trees chosen and fitted on development, scored on confirmation."""
     features = _features(spark, sf_dir)
     frame = research.tree_holdout(
         _between(features, "development"), _between(features, "confirmation"), SETS.expanded, TARGET,
-        TREE_GRID[0], STRIDE_NS,
+        research.chosen_trees(_tree_search(spark, sf_dir)), STRIDE_NS,
     )
     return rounded(frame.select("symbol", "date", "decision_time_ns", "actual", "predicted"))
 
@@ -614,13 +616,9 @@ def gbt_holdout(spark, sf_dir):
 def holdout_evaluation(spark, sf_dir):
     """Trees chosen on development, refitted on development and confirmation, one holdout score."""
     features = _features(spark, sf_dir)
-    best = evaluation.best_candidate(
-        _tree_search(spark, sf_dir), ["validation_mse", "n_estimators", "max_depth"]
-    ).first()
-    params = trees.TreeParams(max_depth=best["max_depth"], n_estimators=best["n_estimators"])
     frame = research.tree_holdout(
         _between(features, "development", "confirmation"), _between(features, "holdout"),
-        SETS.expanded, TARGET, params, STRIDE_NS,
+        SETS.expanded, TARGET, research.chosen_trees(_tree_search(spark, sf_dir)), STRIDE_NS,
     )
     scored = stored(
         frame.select("symbol", "date", "decision_time_ns", "actual", "predicted", "training_mean"),

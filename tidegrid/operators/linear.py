@@ -282,8 +282,3 @@ def raw_scale_fit(
         intercept -= slope * mean
     medians = tuple(table[n][0] for n in features)
     return LinearFit(medians, intercept, tuple(raw[n] for n in features), 0.0, 0)
-
-
-def exact_mean(frame: DataFrame, column: str) -> float:
-    """Mean of the known values of a column: one number on the driver."""
-    return float(frame.agg(F.avg(column).alias("m")).collect()[0]["m"])

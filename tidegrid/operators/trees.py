@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -63,6 +63,39 @@ def score_trees(
     return model.transform(rows).drop("_x").withColumn("actual", F.col(target))
 
 
+def shared_fits(grid: Sequence[TreeParams]) -> list[list[TreeParams]]:
+    """Candidates that differ in their number of trees alone, most trees first."""
+    alike: dict[TreeParams, list[TreeParams]] = {}
+    for params in grid:
+        alike.setdefault(replace(params, n_estimators=0), []).append(params)
+    return [sorted(same, key=lambda p: -p.n_estimators) for same in alike.values()]
+
+
+def losses(
+    train: DataFrame, held: DataFrame, features: Sequence[str], target: str,
+    medians: Mapping[str, float], same: Sequence[TreeParams],
+) -> list[tuple[TreeParams, float | None, str | None, str | None]]:
+    """(candidate, loss on ``held``, error type, message) for candidates of ``shared_fits``.
+
+    Boosting adds trees one by one, each with a seed of its own, so the first trees of the largest
+    candidate are those of a smaller one and one fit serves all. A failed fit is a failure of its own
+    candidate alone; the next smaller one is then fitted.
+    """
+    rows = _vectors(held.where(F.col(target).isNotNull()), features, medians).select(
+        "_x", F.col(target).alias("_y")
+    )
+    found, by_count = [], None
+    for params in same:
+        try:
+            if by_count is None:
+                model = fit_trees(train, features, target, medians, params)
+                by_count = model.evaluateEachIteration(rows, "squared")
+            found.append((params, by_count[params.n_estimators - 1], None, None))
+        except Exception as error:  # a failed candidate is part of the result
+            found.append((params, None, type(error).__name__, str(error)))
+    return found
+
+
 def search(
     train: DataFrame, validation: DataFrame, features: Sequence[str], target: str,
     medians: Mapping[str, float], grid: Sequence[TreeParams],
@@ -73,17 +106,14 @@ def search(
     """
     spark = train.sparkSession
     results, failures = [], []
-    train_rows = train.where(F.col(target).isNotNull()).count()
-    for params in grid:
-        try:
-            model = fit_trees(train, features, target, medians, params)
-            scored = score_trees(model, validation, features, target, medians)
-            error = F.col("actual") - F.col("predicted")
-            row = scored.agg(F.avg(error * error).alias("mse"), F.count("*").alias("n")).first()
-            results.append((params.max_depth, params.n_estimators, train_rows, row["n"], row["mse"]))
-        except Exception as error:  # a failed candidate is part of the result
-            name = f"depth={params.max_depth},trees={params.n_estimators}"
-            failures.append((name, type(error).__name__, str(error)))
+    train_rows, validation_rows = (f.where(F.col(target).isNotNull()).count() for f in (train, validation))
+    for same in shared_fits(grid):
+        for params, loss, error_type, message in losses(train, validation, features, target, medians, same):
+            if error_type is None:
+                results.append((params.max_depth, params.n_estimators, train_rows, validation_rows, loss))
+            else:
+                name = f"depth={params.max_depth},trees={params.n_estimators}"
+                failures.append((name, error_type, message))
     if not results:
         raise RuntimeError("every candidate failed")
     scores = spark.createDataFrame(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from tidegrid.params import DAY_NS, NS_PER_SECOND, FeatureSets
 from tidegrid.session import stored
 
 PREDICTION_KEYS = ("symbol", "fold", "model", "scope")
+FITS_AT_ONCE = 4
 
 
 def _midnight_ns(date: str) -> int:
@@ -208,18 +212,88 @@ def logistic_predictions(
     return predictions, features.sparkSession.createDataFrame(failures, schema)
 
 
+def _known_rows(frame: DataFrame, target: str) -> dict[str, int]:
+    """Rows of each symbol with a known target."""
+    return {r["symbol"]: r["count"] for r in frame.where(F.col(target).isNotNull()).groupBy("symbol").count().collect()}
+
+
+def _symbol_medians(train: DataFrame, symbols: Sequence[str], features: Sequence[str]) -> dict[str, dict[str, float]]:
+    medians = linear.train_medians(train, ("symbol",), features)
+    return {s: {n: medians.get((s,), {}).get(n, 0.0) for n in features} for s in symbols}
+
+
+def _at_once(spark, work: Callable, items: Sequence) -> list:
+    """Fits are many short jobs: some run side by side."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def tree_search(
+    train: DataFrame, validation: DataFrame, features: Sequence[str], target: str,
+    grid: Sequence[trees.TreeParams],
+) -> DataFrame:
+    """Validation loss of every (symbol, candidate); a failed one has its error instead of a loss.
+
+    A symbol without rows on either side, or without any candidate that could be fitted, raises.
+    """
+    sizes, held = _known_rows(train, target), _known_rows(validation, target)
+    if not sizes or set(sizes) != set(held):
+        raise ValueError(f"empty side of the tuning split: training {sorted(sizes)}, validation {sorted(held)}")
+    medians = _symbol_medians(train.where(F.col(target).isNotNull()), sorted(sizes), features)
+
+    def fit(item):
+        symbol, same = item
+        own = F.col("symbol") == symbol
+        found = trees.losses(train.where(own), validation.where(own), features, target, medians[symbol], same)
+        return [(symbol, p.max_depth, p.n_estimators, sizes[symbol], held[symbol], *rest) for p, *rest in found]
+
+    fits = [(symbol, same) for symbol in sorted(sizes) for same in trees.shared_fits(grid)]
+    rows = [row for part in _at_once(train.sparkSession, fit, fits) for row in part]
+    for symbol in sizes:
+        own = [row for row in rows if row[0] == symbol]
+        if all(row[5] is None for row in own):
+            raise RuntimeError(f"every candidate of {symbol} failed: {own[0][6]}: {own[0][7]}")
+    return train.sparkSession.createDataFrame(
+        rows,
+        "symbol string, max_depth int, n_estimators int, train_rows long, validation_rows long, "
+        "validation_mse double, error_type string, message string",
+    )
+
+
+def chosen_trees(scores: DataFrame) -> dict[str, trees.TreeParams]:
+    """The candidate of each symbol with the smallest loss, then fewer trees, then less depth."""
+    order = F.struct("validation_mse", "n_estimators", "max_depth")
+    best = scores.where("validation_mse IS NOT NULL").groupBy("symbol").agg(F.min(order).alias("best"))
+    return {
+        r["symbol"]: trees.TreeParams(max_depth=r["best"]["max_depth"], n_estimators=r["best"]["n_estimators"])
+        for r in best.collect()
+    }
+
+
 def tree_holdout(
     train: DataFrame, evaluation_rows: DataFrame, features: Sequence[str], target: str,
-    params: trees.TreeParams, stride_ns: int,
+    params: Mapping[str, trees.TreeParams], stride_ns: int,
 ) -> DataFrame:
-    """Trees fitted on every ``stride_ns``-th training row, scored on the holdout.
+    """Trees of each symbol fitted on every ``stride_ns``-th training row, scored on the holdout.
 
     The reference mean for R2 is that of all eligible training rows, not of the subsample.
+    A symbol of the holdout without candidate or training rows raises.
     """
     known = train.where(F.col(target).isNotNull())
     sampled = known.where(F.pmod("decision_time_ns", F.lit(stride_ns)) == 0)
-    medians = linear.train_medians(sampled, (), features)[()]
-    filling = {n: medians.get(n, 0.0) for n in features}
-    model = trees.fit_trees(sampled, features, target, filling, params)
-    scored = trees.score_trees(model, evaluation_rows, features, target, filling)
-    return scored.withColumn("training_mean", F.lit(linear.exact_mean(known, target)))
+    symbols = sorted(_known_rows(evaluation_rows, target))
+    if missing := set(symbols) - (set(params) & set(_known_rows(sampled, target))):
+        raise ValueError(f"no trees for {sorted(missing)}")
+    medians = _symbol_medians(sampled, symbols, features)
+    means = known.groupBy("symbol").agg(F.avg(target).alias("training_mean"))
+
+    def fit(symbol):
+        own = F.col("symbol") == symbol
+        model = trees.fit_trees(sampled.where(own), features, target, medians[symbol], params[symbol])
+        return trees.score_trees(model, evaluation_rows.where(own), features, target, medians[symbol])
+
+    if not symbols:
+        empty = evaluation_rows.where("false").withColumns({"predicted": F.lit(0.0), "actual": F.col(target)})
+        return empty.withColumn("training_mean", F.lit(0.0))
+    scored = reduce(DataFrame.unionByName, _at_once(train.sparkSession, fit, symbols))
+    return scored.join(means, "symbol")
