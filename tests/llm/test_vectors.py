@@ -72,6 +72,30 @@ def test_neighbours_match_brute_force(spark, vectors):
     assert forest.neighbours(spark.createDataFrame([], SCHEMA), asks).count() == 0
 
 
+def test_repeated_rows_and_ids_hide_no_neighbour(spark):
+    rng = np.random.default_rng(3)
+    hot, far = rng.normal(size=16), rng.normal(size=(60, 16))
+    rows = [(i, hot) for i in (1, 1, 1, 2, 2, 2, 3)] + [(4, far[0])] * 6 + [(5, far[0])]
+    rows += [(20, far[1])] + [(21, far[1] + 0.01 * rng.normal(size=16)) for _ in range(40)]  # one id, many near vectors
+    rows += [(22 + n, far[1] + 0.2 * rng.normal(size=16)) for n in range(6)] + [(21, far[1])]
+    rows += [(50, far[2] * n) for n in range(1, 40)] + [(51, far[2] * 50), (52, far[2] * 60)]
+    rows += [(100 + n, p) for n, p in enumerate(far[3:])]
+    rows = [(i, [float(x) for x in p]) for i, p in rows]
+    asks = F.col("vec_id").isin(1, 3, 5, 20, 21, 51)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in forest.neighbours(table, asks, 5, leaf=1000).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for query in (1, 3, 5, 20, 21, 51):
+        best = {}
+        for i, a in rows:
+            for j, b in rows if i == query else []:
+                if j != query:
+                    best[j] = max(best.get(j, -2.0), _cosine(np.array(a), np.array(b)))
+        want = sorted((-round(s, 9), j) for j, s in best.items())[:5]
+        assert sorted((-round(s, 9), j) for j, s in found[query]) == want
+
+
 def test_recall_on_the_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ids, points = zip(*[(r["vec_id"], r["embedding"]) for r in table.collect()])

@@ -95,6 +95,27 @@ def search(trees: list[Tree], sizes: np.ndarray, query: np.ndarray, wanted: floa
     return found
 
 
+def nearest(row: np.ndarray, ids: list, first: np.ndarray, query: int, k: int) -> list[tuple[float, int]]:
+    """(-score, id) of the ``k`` best ids other than the query's, each with the best score of its entries."""
+    count = k + 1  # the query's own entry may be among them
+    while True:
+        bar = np.partition(row, -count)[-count] if len(row) > count else -np.inf
+        near = np.flatnonzero(row >= bar)
+        many = len(near) > 4 * k + 4
+        if many:
+            near = near[np.lexsort((first[near], -row[near]))]
+        best: dict[int, float] = {}
+        for i in near:
+            if many and len(best) >= k and sorted((s, v) for v, s in best.items())[k - 1] < (-row[i], first[i]):
+                break
+            for v in ids[i]:
+                if v != query and -row[i] < best.get(v, np.inf):
+                    best[v] = -row[i]
+        if len(best) >= k or len(near) == len(row):
+            return sorted((s, v) for v, s in best.items())[:k]
+        count *= 4  # some ids have several near entries
+
+
 def neighbours(
     embeddings: DataFrame,
     is_query: Column,
@@ -112,7 +133,8 @@ def neighbours(
         *keys(F.col("embedding")),
     )
     first = F.row_number().over(W.partitionBy("key", "key2").orderBy("vec_id"))
-    few = rows.withColumn("place", first).filter(F.col("place") <= k + 1)
+    distinct = rows.dropDuplicates(["key", "key2", "vec_id"])  # repeated rows take no places
+    few = distinct.withColumn("place", first).filter(F.col("place") <= k + 1)
     entries = kept(
         few.groupBy("key", "key2").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_set("vec_id")).alias("ids")),
         "entries",
@@ -216,11 +238,7 @@ def neighbours(
                 part = queries[at : at + 256]
                 scores = (part @ own.T) / (np.linalg.norm(part, axis=1)[:, None] * norms)
                 for query, row in zip(group.loc[asks, "query_id"].iloc[at : at + 256].astype("int64"), scores):
-                    bar = np.partition(row, -k - 1)[-k - 1] if len(row) > k + 1 else -np.inf
-                    near = np.flatnonzero(row >= bar)  # the query's own entry may be among them
-                    near = near[np.lexsort((first[near], -row[near]))][: 4 * k + 4] if len(near) > 4 * k + 4 else near
-                    best = sorted((-row[i], v) for i in near for v in ids[i] if v != query)[:k]
-                    for score, v in best:
+                    for score, v in nearest(row, ids, first, query, k):
                         out["query_id"].append(query), out["vec_id"].append(v), out["score"].append(-score)
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
