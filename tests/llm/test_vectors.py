@@ -53,6 +53,24 @@ def test_near_duplicates_match_all_pairs(spark, vectors):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_no_link_is_lost_between_cells(spark):
+    threshold = 0.8
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    other = np.roll(x, 1, axis=0)  # each partner lies towards another vector of the table
+    side = other - (x * other).sum(axis=1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = threshold + 0.005
+    points = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * side])
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    want = (unit @ unit.T >= threshold).sum(axis=1) - 1
+    rows = [(n, [float(v) for v in p], 1) for n, p in enumerate(points)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(table, threshold=threshold).collect()}
+    assert [found[n] for n in range(len(points))] == want.tolist()
+
+
 def test_neighbours_match_brute_force(spark, vectors):
     rows = [r for r in _matrix(vectors) if r[0] is not None]
     asks = (F.col("vec_id") % 50 == 0) | (F.col("vec_id") == 305)

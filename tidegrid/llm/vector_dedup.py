@@ -1,11 +1,11 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products, one row kept per group.
 
 Equal vectors of a label are one kind with a number of copies. Centroids are fitted on a bounded sample;
-every kind has the nearest centroid's cell as its home and visits every cell whose centroid is less than
-``margin`` further in cosine. A cell compares its home kinds with all its kinds, so a pair is compared if
-either visits the other's home; a pair that meets twice counts in the smaller cell. For a pair at the
-threshold a miss needs both shortfalls beyond the margin: below 1e-5 for random directions at the default.
-``margin=2`` visits every cell and is exact.
+every kind has the nearest centroid's cell h as its home and visits every cell c whose centroid is less
+than ``sqrt((1 - threshold) / 2) * |h - c|`` further in cosine. A cell compares its home kinds with all its
+kinds, so a pair is compared if either visits the other's home; a pair that meets twice counts in the
+smaller cell. No link is missed: for unit x, y with homes h, c that both stay out of the other's home,
+(x - y).(h - c) exceeds twice the margin, which is sqrt(2 - 2 threshold) * |h - c|, so |x - y| is too large.
 
 A cell is split into chunks of bounded size, and each pair of chunks is one matrix product. A task
 returns one row per kind and a spanning forest of its links, never pairs.
@@ -28,7 +28,7 @@ from tidegrid.llm.components import components
 from tidegrid.llm.vectors import keys, matrix, sample, takes_part
 
 THRESHOLD = 0.93
-MARGIN = 0.15
+ROUNDING = 1e-9
 SAMPLE_ROWS = 20_000
 MOST_CELLS = 1024
 CHUNK = 4096
@@ -49,11 +49,18 @@ def fit_cells(points: np.ndarray, cells: int, rounds: int = 12, seed: int = 5) -
     return centroids
 
 
-def _members(kinds: DataFrame, centroids: np.ndarray, margin: float) -> DataFrame:
+def margins(centroids: np.ndarray, home: int, threshold: float) -> np.ndarray:
+    """How much further in cosine each cell's centroid may be for a kind of ``home`` to visit it."""
+    far = np.linalg.norm(centroids - centroids[home], axis=1)
+    return np.sqrt(max(0.0, (1 - threshold) / 2)) * far + ROUNDING
+
+
+def _members(kinds: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
     """(label, cell, home, kind, copies, embedding): a row for each cell that a kind visits."""
     width = centroids.shape[1] if len(centroids) else -1
 
     def run(batches):
+        margin = np.array([margins(centroids, h, threshold) for h in range(len(centroids))])
         for batch in batches:
             rows, cells, homes = [], [], []
             for size, at, points in matrix(batch.column("embedding")):
@@ -64,7 +71,7 @@ def _members(kinds: DataFrame, centroids: np.ndarray, margin: float) -> DataFram
                     continue
                 near = (points / np.linalg.norm(points, axis=1)[:, None]) @ centroids.T
                 home = np.argmax(near, axis=1)
-                row, cell = np.nonzero(near >= near.max(axis=1)[:, None] - margin)
+                row, cell = np.nonzero(near >= near.max(axis=1)[:, None] - margin[home])
                 rows.append(at[row])
                 cells.append(cell)
                 homes.append(home[row])
@@ -96,7 +103,7 @@ def _chunks(members: DataFrame) -> DataFrame:
     )
 
 
-def linked(kinds: DataFrame, centroids: np.ndarray, threshold: float, margin: float) -> DataFrame:
+def linked(kinds: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
     """(kind, root, links): links of each kind found in a block, and an edge to its root there."""
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
@@ -112,7 +119,7 @@ def linked(kinds: DataFrame, centroids: np.ndarray, threshold: float, margin: fl
         visits = None
         if len(centroids) and x.shape[1] == centroids.shape[1]:
             near = (x / nx[:, None]) @ centroids.T
-            visits = near >= near.max(axis=1)[:, None] - margin
+            visits = near >= near.max(axis=1)[:, None] - margins(centroids, cell, threshold)
         for at in range(0, len(x), 512):
             part = slice(at, at + 512)
             hit = (x[part] @ y.T) / (nx[part, None] * ny) >= threshold
@@ -139,12 +146,12 @@ def linked(kinds: DataFrame, centroids: np.ndarray, threshold: float, margin: fl
                 break
         return pd.DataFrame({"kind": nodes, "root": nodes[root], "links": links})
 
-    blocks = _chunks(_members(kinds, centroids, margin))
+    blocks = _chunks(_members(kinds, centroids, threshold))
     return blocks.groupBy("label", "cell", "i", "j").applyInPandas(compare, "kind long, root long, links long")
 
 
 def near_duplicates(
-    embeddings: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, sample_rows: int = SAMPLE_ROWS
+    embeddings: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row."""
     rows = embeddings.select(
@@ -165,7 +172,7 @@ def near_duplicates(
     )
     numbered = kinds.withColumn("kind", F.xxhash64("key", "key2"))
     cells = int(np.clip(np.sqrt(max(1, numbered.count())) / 4, 1, MOST_CELLS))
-    found = kept(linked(numbered, fit_cells(sample(kinds, sample_rows), cells), threshold, margin), "links")
+    found = kept(linked(numbered, fit_cells(sample(kinds, sample_rows), cells), threshold), "links")
     links = found.groupBy("kind").agg(F.sum("links").alias("linked"))
     roots = components(found.select(F.col("kind").alias("a"), F.col("root").alias("b")))
     placed = (
