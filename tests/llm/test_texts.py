@@ -253,3 +253,10 @@ def test_packed_sets_keep_overlaps():
     assert left.tolist() == (tokens[:3000] >> np.uint64(16)).tolist()
     assert len(np.intersect1d(left, right, assume_unique=True)) == 2000
     assert len(jaccard.unpacked(jaccard.packed(tokens[:0]))) == 0
+
+
+def test_long_mixed_runs_are_candidates():
+    run = "".join(chr(c) for c in np.random.default_rng(2).choice([*range(48, 58), *range(65, 91), *range(97, 123)], 400))
+    for size in (24, 128, 129, 400):
+        found = secrets.candidates(f"see {run[:size]} here")
+        assert [(s, e) for s, rank, e, _ in found if rank == 6] == [(4, 4 + size)]
