@@ -188,7 +188,7 @@ def plain_phrases(rows, least, longest=5, top=2000, percent=100, scale=1000):
 
 def phrase_texts(seed, n=150):
     draw = random.Random(seed)
-    words = ["the", "of", "The", "sea", "é", "côte", "x-y", " z", "tide", "a\x00b"]
+    words = ["the", "of", "The", "sea", "é", "côte", "x-y", " z", "tide", "a\x00b", "b\u2028\x85"]
     texts = []
     for _ in range(n):
         text = "".join(draw.choice(words) + draw.choice([" ", " ", "  ", "\t", ", ", ".", "\n", "\x0b"]) for _ in range(draw.randrange(60)))

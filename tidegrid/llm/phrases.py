@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z), split at punctuation and line ends into pieces, pie
 Phrases of 2 to ``longest`` words with at least ``least`` occurrences in their language are candidates. A task counts
 phrases of one length in a HAT-trie: a shallow trie over word ids whose leaves are hash containers of the remaining
 ids; a container that grows too large bursts into a node with a container for each next word. When a task
-holds too many entries, whole subtrees, the largest first, leave as sorted runs. Runs meet again by the first words of
-their phrases and are added up there.
+holds too many entries, whole subtrees, the largest first, leave as sorted runs. The runs of a first word meet in one
+partition and are added up there; the runs of a very frequent one are dealt to several by the second word.
 
 No phrase is frequent unless its words, and its pairs of neighbours, are. So there are three passes over the
 texts: words, pairs of frequent words, longer phrases of frequent pairs. Frequent words and pairs go to the tasks as
@@ -46,9 +46,11 @@ LEAST, LONGEST, TOP, PERCENT, SCALE = 100, 5, 2000, 100, 1000
 #: Entries of a container before it bursts, entries of a task before subtrees leave, bytes of text counted at once.
 BURST, MOST, CHUNK = 16_384, 1_000_000, 4 << 20
 
-#: Bits of each map of frequent words and pairs (8 MB), words of the prefix by which runs meet.
+#: Bits of each map of frequent words and pairs (8 MB).
 FILTER_BITS = 1 << 26
-PREFIX_WORDS = 2
+
+#: Single words meet in so many parts; a first word with more than one share of all occurrences is dealt to as many parts.
+WORD_PARTS, SHARES = 4096, 1000
 
 _ID = np.dtype(">i4")  # keys of one container sort like their ids
 
@@ -158,8 +160,8 @@ def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 class Ids:
     """Numbers of a task's words by language; words that the filter refuses have none (-1)."""
 
-    def __init__(self, lang: str, frequent: np.ndarray | None):
-        self.lead, self.frequent = lang.encode() + b"\x00", frequent
+    def __init__(self, lang: str, frequent: np.ndarray | None, heavy: dict[tuple[str, str], int]):
+        self.lang, self.lead, self.frequent, self.heavy = lang, lang.encode() + b"\x00", frequent, heavy
         self.ids: dict[bytes, int] = {}
         self.words: list[bytes] = []
         self.crc: list[int] = []
@@ -179,6 +181,16 @@ class Ids:
         return np.array(known, np.int64)[words.indices.to_numpy(zero_copy_only=False)] if known else np.zeros(0, np.int64)
 
 
+    @property
+    def parts(self) -> np.ndarray:
+        """In how many parts the phrases of each first word are dealt."""
+        parts = np.ones(len(self.words), np.int64)
+        for (lang, word), some in self.heavy.items():
+            if lang == self.lang and (number := self.ids.get(word.encode())) is not None:
+                parts[number] = some
+        return parts
+
+
 def _has(bits: np.ndarray, position):
     position = position & (len(bits) * 8 - 1)
     return (bits[position >> 3] >> (position & 7)) & 1
@@ -189,24 +201,42 @@ def _pair_position(first, second):
     return first * 1_000_003 + second
 
 
-def _run(lang: str, words: list[bytes], rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A sorted run: (lang, prefix, phrase, n)."""
-    table = pa.array(words, pa.large_binary())
-    columns = [table.take(pa.array(rows[:, i].astype(np.int64))) for i in range(rows.shape[1])]
-    space = pa.scalar(b" ", pa.large_binary())
-    join = lambda some: some[0] if len(some) == 1 else pc.binary_join_element_wise(*some, space)
-    phrase = join(columns)
-    order = pc.sort_indices(phrase)
-    text = lambda a: a.take(order).cast(pa.large_utf8()).cast(pa.utf8())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang], pa.utf8()).take(pa.array(np.zeros(len(counts), np.int64))),
-            text(join(columns[:PREFIX_WORDS])),
-            text(phrase),
-            pa.array(counts).take(order),
-        ],
-        ["lang", "prefix", "phrase", "n"],
-    )
+def _run(known: Ids, rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A sorted run of phrases of one length: (lang, head, part, size, lines).
+
+    ``head`` is the first word, one row holds its phrases in the order of their words, each a line of the further words and
+    the count. The second word's hash deals the phrases of a heavy first word to several parts; single words
+    are dealt to parts by their hash.
+    """
+    length = rows.shape[1]
+    words, crc = pa.array(known.words, pa.large_binary()), np.array(known.crc, np.int64)
+    rank = np.empty(len(words), np.int64)
+    rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+    rows = rows.astype(np.int64)
+    if length == 1:
+        head, part = np.zeros(len(rows), np.int64), crc[rows[:, 0]] % WORD_PARTS
+    else:
+        head, part = rows[:, 0], crc[rows[:, 1]] % known.parts[rows[:, 0]]
+    order = np.lexsort((*(rank[rows[:, i]] for i in range(length - 1, 0 if length > 1 else -1, -1)), part, head))
+    rows, counts, head, part = rows[order], counts[order], head[order], part[order]
+    written = pa.array(counts).cast(pa.string()).cast(pa.large_binary())
+    rest = [words.take(pa.array(rows[:, i])) for i in range(1 if length > 1 else 0, length)]
+    lines = pc.binary_join_element_wise(*rest, written, pa.scalar(b" ", pa.large_binary()))
+    turn = (head[1:] != head[:-1]) | (part[1:] != part[:-1]) | (np.arange(1, len(rows)) % BURST == 0)
+    starts = np.flatnonzero(np.r_[True, turn])
+    for low in range(0, len(starts), 20_000):
+        at = starts[low : low + 20_000]
+        ends = np.r_[at[1:], starts[low + 20_000] if low + 20_000 < len(starts) else len(rows)]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[at, ends[-1]] - at[0], pa.int32()), lines.slice(at[0], ends[-1] - at[0]))
+        heads = words.take(pa.array(head[at])) if length > 1 else pa.array([b""] * len(at), pa.large_binary())
+        text = lambda a: a.cast(pa.large_utf8()).cast(pa.utf8())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([known.lang] * len(at), pa.utf8()), text(heads), pa.array(part[at], pa.int32()),
+                pa.array([length] * len(at), pa.int32()), text(pc.binary_join(lists, pa.scalar(b"\n", pa.large_binary()))),
+            ],
+            ["lang", "head", "part", "size", "lines"],
+        )
 
 
 def _windows(ids: np.ndarray, piece: np.ndarray, length: int, pairs: np.ndarray | None) -> np.ndarray:
@@ -223,8 +253,10 @@ def _windows(ids: np.ndarray, piece: np.ndarray, length: int, pairs: np.ndarray
     return np.lib.stride_tricks.sliding_window_view(ids, length)[fits]
 
 
-def runs(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], words, pairs, burst: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The runs of one task: (lang, prefix, phrase, n), a phrase in as many as it needs."""
+def runs(
+    batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], words, pairs, heavy: dict, burst: int, most: int
+) -> Iterator[pa.RecordBatch]:
+    """The runs of one task, a phrase in as many as it needs."""
     bits = lambda shared: None if shared is None else np.frombuffer(shared.value, np.uint8)
     word_bits, pair_bits = bits(words), bits(pairs)
     numbers: dict[str, Ids] = {}
@@ -235,19 +267,19 @@ def runs(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], words, pai
         for lang, counter in single.items():
             if counter and sum(map(len, single.values())) > down_to:
                 rows = np.fromiter(counter, np.int64, len(counter))[:, None]
-                yield _run(lang, numbers[lang].words, rows, np.fromiter(counter.values(), np.int64, len(counter)))
+                yield from _run(numbers[lang], rows, np.fromiter(counter.values(), np.int64, len(counter)))
                 counter.clear()
                 if not tries:
-                    numbers[lang] = Ids(lang, word_bits)  # rare words are not kept from run to run
+                    numbers[lang] = Ids(lang, word_bits, heavy)  # rare words are not kept from run to run
         share = down_to // max(len(tries), 1)
         for (lang, _), trie in tries.items():
             spilled = trie.spill(share)
             if spilled is not None:
-                yield _run(lang, numbers[lang].words, *spilled)
+                yield from _run(numbers[lang], *spilled)
 
     for batch in batches:
         for lang, texts in _chunks(batch):
-            known = numbers.setdefault(lang, Ids(lang, word_bits))
+            known = numbers.setdefault(lang, Ids(lang, word_bits, heavy))
             found, piece = _words(texts)
             ids = known.of(found)
             near = None
@@ -267,15 +299,25 @@ def runs(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], words, pai
     yield from out(0)
 
 
-def counted(docs: DataFrame, lengths: tuple[int, ...], words=None, pairs=None, burst: int = BURST, most: int = MOST) -> DataFrame:
-    """(lang, phrase, n) of every phrase of the given lengths whose words (and pairs) the maps let through."""
+def counted(
+    docs: DataFrame, lengths: tuple[int, ...], words=None, pairs=None, heavy: dict | None = None, burst: int = BURST, most: int = MOST
+) -> DataFrame:
+    """(lang, phrase, size, n) of every phrase of the given lengths whose words (and pairs) the maps let through.
+
+    ``heavy`` names first words whose phrases are dealt to several partitions, and to how many.
+    """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
 
     def count(batches):
-        return runs(lean(batches, "phrases"), lengths, words, pairs, burst, most)
+        return runs(lean(batches, "phrases"), lengths, words, pairs, heavy or {}, burst, most)
 
-    met = texts.mapInArrow(count, "lang string, prefix string, phrase string, n long").repartition("lang", "prefix")
-    return met.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
+    where = ("lang", "head", "part", "size")
+    met = texts.mapInArrow(count, "lang string, head string, part int, size int, lines string").repartition("lang", "head", "part")
+    lines = met.select(*where, F.explode(F.split("lines", "\n")).alias("line")).withColumn("n", F.substring_index("line", " ", -1))
+    rest = F.substring("line", F.lit(1), F.length("line") - F.length("n") - 1)
+    lines = lines.select(*where, rest.alias("rest"), F.col("n").cast("long").alias("n"))
+    phrase = F.when(F.col("size") == 1, F.col("rest")).otherwise(F.concat_ws(" ", "head", "rest"))
+    return lines.groupBy(*where, "rest").agg(F.sum("n").alias("n")).select("lang", phrase.alias("phrase"), "size", "n")
 
 
 def _word_crc(word: Column) -> Column:
@@ -294,6 +336,13 @@ def _shared_bits(frequent: DataFrame, position: Column, bits: int):
     return frequent.sparkSession.sparkContext.broadcast(bytes(found))
 
 
+def _heavy(words: DataFrame, totals: DataFrame) -> dict[tuple[str, str], int]:
+    """Words that make up a share of 1 in ``SHARES`` of all occurrences, and that many times their share: at most ``SHARES`` words."""
+    total = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    found = words.filter(F.col("n") * SHARES >= F.lit(total)).select("lang", "phrase", "n").collect()
+    return {(r["lang"], r["phrase"]): -(-r["n"] * SHARES // total) for r in found}
+
+
 def frequent(
     docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS, burst: int = BURST, most: int = MOST
 ) -> tuple[DataFrame, DataFrame]:
@@ -301,21 +350,22 @@ def frequent(
     if bits < 32_768 or bits & (bits - 1):
         raise ValueError("bits is a power of two, 32768 at least")
     every = kept(counted(docs, (1,), burst=burst, most=most), "words")
-    totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = kept(every.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     words = every.filter(F.col("n") >= least)
+    heavy = _heavy(words, totals)
     word_bits = _shared_bits(words, _word_crc(F.col("phrase")), bits)
     found = [words]
-    pairs = kept(counted(docs, (2,), word_bits, burst=burst, most=most).filter(F.col("n") >= least), "pairs")
+    pairs = kept(counted(docs, (2,), word_bits, None, heavy, burst, most).filter(F.col("n") >= least), "pairs")
     found.append(pairs)
     if longest > 2:
         two = F.split("phrase", " ")
         pair_bits = _shared_bits(pairs, _pair_position(_word_crc(two[0]), _word_crc(two[1])), bits)
-        longer = counted(docs, tuple(range(3, longest + 1)), word_bits, pair_bits, burst, most)
+        longer = counted(docs, tuple(range(3, longest + 1)), word_bits, pair_bits, heavy, burst, most)
         found.append(kept(longer.filter(F.col("n") >= least), "longer"))
     together = found[0]
     for more in found[1:]:
         together = together.unionByName(more)
-    return together.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "n"), kept(totals, "totals")
+    return together, totals
 
 
 def collocations(
