@@ -301,49 +301,3 @@ def test_placebo_rotates_only_the_additions(spark):
     train, test = frame.where("date < '2024-01-05'"), frame.where("date >= '2024-01-05'")
     out = research.placebo_predictions(train, test, SETS, "y", 1.0, 7)
     assert out.count() == table[(table.date >= "2024-01-05") & table.y.notna()].shape[0]
-
-
-def test_tree_search_records_failures(spark):
-    from tidegrid.operators import trees
-
-    table = _model_table()
-    frame = _spark_table(spark, table)
-    medians = {n: 0.0 for n in SETS.baseline}
-    grid = [trees.TreeParams(max_depth=2, n_estimators=2), trees.TreeParams(max_depth=99, n_estimators=2)]
-    scores, failures = trees.search(frame, frame, SETS.baseline, "y", medians, grid)
-    assert scores.count() == 1 and failures.count() == 1
-    assert len(trees.tree_grid()) == 4
-    with pytest.raises(RuntimeError):
-        trees.search(frame, frame, SETS.baseline, "y", medians, grid[1:])
-
-
-def test_trees_are_searched_per_symbol_with_failures_as_rows(spark):
-    from tidegrid import catalog
-    from tidegrid.operators import trees
-
-    assert {(p.max_depth, p.n_estimators) for p in catalog.TREE_GRID} == {(d, n) for d in (2, 3) for n in (100, 200)}
-    table = pd.concat([_model_table(), _model_table(seed=4).assign(symbol="BBB", y=lambda t: -t.y)])
-    frame = _spark_table(spark, table)
-    train, held = frame.where("date < '2024-01-05'"), frame.where("date >= '2024-01-05'")
-    names = SETS.expanded[:3]
-    grid = [trees.TreeParams(max_depth=d, n_estimators=n) for d in (2, 99) for n in (2, 4)]
-    found = {(r["symbol"], r["max_depth"], r["n_estimators"]): r for r in research.tree_search(train, held, names, "y", grid).collect()}
-    assert len(found) == 8 and sum(r["message"] is not None for r in found.values()) == 4
-    for symbol in ("AAA", "BBB"):
-        known = train.where((F.col("symbol") == symbol) & F.col("y").isNotNull())
-        medians = linear.train_medians(known, (), names)[()]
-        for params in grid[:2]:  # the shared fit has the losses of a fit of each count
-            model = trees.fit_trees(known, names, "y", medians, params)
-            scored = trees.score_trees(model, held.where(F.col("symbol") == symbol), names, "y", medians)
-            mse = scored.selectExpr("avg(pow(actual - predicted, 2)) AS m").first()["m"]
-            assert found[symbol, 2, params.n_estimators]["validation_mse"] == pytest.approx(mse, rel=1e-9)
-        assert found[symbol, 99, 2]["validation_mse"] is None and found[symbol, 99, 2]["error_type"]
-    chosen = dict.fromkeys(("AAA", "BBB"), grid[1])
-    out = research.tree_holdout(train, held, names, "y", chosen, 1).toPandas()
-    assert len(out) == held.where("y IS NOT NULL").count()
-    means = table[table.date < "2024-01-05"].groupby("symbol").y.mean()
-    for symbol, own in out.groupby("symbol"):
-        assert np.corrcoef(own.actual, own.predicted)[0, 1] > 0.2
-        assert own.training_mean.iloc[0] == pytest.approx(means[symbol])
-    with pytest.raises(ValueError):
-        research.tree_holdout(train, held, names, "y", {"AAA": grid[0]}, 1)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime, timedelta
-from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +13,6 @@ from tidegrid.params import DAY_NS, NS_PER_SECOND, FeatureSets
 from tidegrid.session import stored
 
 PREDICTION_KEYS = ("symbol", "fold", "model", "scope")
-FITS_AT_ONCE = 4
 
 
 def _midnight_ns(date: str) -> int:
@@ -217,42 +213,41 @@ def _known_rows(frame: DataFrame, target: str) -> dict[str, int]:
     return {r["symbol"]: r["count"] for r in frame.where(F.col(target).isNotNull()).groupBy("symbol").count().collect()}
 
 
-def _symbol_medians(train: DataFrame, symbols: Sequence[str], features: Sequence[str]) -> dict[str, dict[str, float]]:
-    medians = linear.train_medians(train, ("symbol",), features)
-    return {s: {n: medians.get((s,), {}).get(n, 0.0) for n in features} for s in symbols}
-
-
-def _at_once(spark, work: Callable, items: Sequence) -> list:
-    """Fits are many short jobs: some run side by side."""
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
-
-
 def tree_search(
     train: DataFrame, validation: DataFrame, features: Sequence[str], target: str,
     grid: Sequence[trees.TreeParams],
 ) -> DataFrame:
-    """Validation loss of every (symbol, candidate); a failed one has its error instead of a loss.
+    """Validation loss of every (symbol, candidate); one that cannot be grown has its error instead of a loss.
 
-    A symbol without rows on either side, or without any candidate that could be fitted, raises.
+    All symbols and depths grow together, and candidates that differ in their number of trees share a fit. A
+    failed job is not a failed candidate: it stops the query. A symbol without rows on either side, or without any
+    candidate that can be grown, raises.
     """
     sizes, held = _known_rows(train, target), _known_rows(validation, target)
     if not sizes or set(sizes) != set(held):
         raise ValueError(f"empty side of the tuning split: training {sorted(sizes)}, validation {sorted(held)}")
-    medians = _symbol_medians(train.where(F.col(target).isNotNull()), sorted(sizes), features)
-
-    def fit(item):
-        symbol, same = item
-        own = F.col("symbol") == symbol
-        found = trees.losses(train.where(own), validation.where(own), features, target, medians[symbol], same)
-        return [(symbol, p.max_depth, p.n_estimators, sizes[symbol], held[symbol], *rest) for p, *rest in found]
-
-    fits = [(symbol, same) for symbol in sorted(sizes) for same in trees.shared_fits(grid)]
-    rows = [row for part in _at_once(train.sparkSession, fit, fits) for row in part]
-    for symbol in sizes:
-        own = [row for row in rows if row[0] == symbol]
-        if all(row[5] is None for row in own):
-            raise RuntimeError(f"every candidate of {symbol} failed: {own[0][6]}: {own[0][7]}")
+    problems = {p: p.problem() for p in grid}
+    if all(problems.values()):
+        raise RuntimeError(f"every candidate failed: {next(iter(problems.values()))}")
+    sound = trees.shared_fits([p for p in grid if not problems[p]])
+    training = trees.binned(train, features, target, "symbol", ("symbol", "decision_time_ns"))
+    wanted = [(symbol, same) for symbol in sorted(sizes) for same in sound]
+    models = trees.grown(training, [(symbol, same[0]) for symbol, same in wanted])
+    scored = trees.losses(
+        validation, features, target, "symbol",
+        [(symbol, model, [p.n_estimators for p in same]) for (symbol, same), model in zip(wanted, models)],
+    )
+    rows = [
+        (symbol, p.max_depth, p.n_estimators, sizes[symbol], held[symbol], scored[i, p.n_estimators], None, None)
+        for i, (symbol, same) in enumerate(wanted)
+        for p in same
+    ]
+    rows += [
+        (symbol, p.max_depth, p.n_estimators, sizes[symbol], held[symbol], None, "ValueError", problem)
+        for symbol in sorted(sizes)
+        for p, problem in problems.items()
+        if problem
+    ]
     return train.sparkSession.createDataFrame(
         rows,
         "symbol string, max_depth int, n_estimators int, train_rows long, validation_rows long, "
@@ -284,16 +279,10 @@ def tree_holdout(
     symbols = sorted(_known_rows(evaluation_rows, target))
     if missing := set(symbols) - (set(params) & set(_known_rows(sampled, target))):
         raise ValueError(f"no trees for {sorted(missing)}")
-    medians = _symbol_medians(sampled, symbols, features)
     means = known.groupBy("symbol").agg(F.avg(target).alias("training_mean"))
-
-    def fit(symbol):
-        own = F.col("symbol") == symbol
-        model = trees.fit_trees(sampled.where(own), features, target, medians[symbol], params[symbol])
-        return trees.score_trees(model, evaluation_rows.where(own), features, target, medians[symbol])
-
-    if not symbols:
-        empty = evaluation_rows.where("false").withColumns({"predicted": F.lit(0.0), "actual": F.col(target)})
-        return empty.withColumn("training_mean", F.lit(0.0))
-    scored = reduce(DataFrame.unionByName, _at_once(train.sparkSession, fit, symbols))
+    rows = evaluation_rows.where(F.col(target).isNotNull())
+    own = sampled.where(F.col("symbol").isin(symbols))
+    training = trees.binned(own, features, target, "symbol", ("symbol", "decision_time_ns"))
+    models = dict(zip(symbols, trees.grown(training, [(s, params[s]) for s in symbols])))
+    scored = trees.score(rows, features, "symbol", models).withColumn("actual", F.col(target))
     return scored.join(means, "symbol")
