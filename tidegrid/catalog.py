@@ -15,7 +15,7 @@ from tidegrid.functions.guards import rounded
 from tidegrid.functions.ordering import exact_median
 from tidegrid.operators import asof, bars, evaluation, fills, inference, ledger, linear, quality, splits, trees
 from tidegrid.operators.flow import label_names, predictor_names
-from tidegrid.params import MARKETS, NS_PER_MS, ExecutionParams, FeatureSets, GridParams
+from tidegrid.params import DAY_NS, MARKETS, NS_PER_MS, ExecutionParams, FeatureSets, GridParams
 from tidegrid.plans import backtest, features as feature_plans, research
 from tidegrid.session import scratch_path, stored, use_utc
 from tidegrid.sources import archives, tables
@@ -755,10 +755,19 @@ def stream_bars(spark, sf_dir):
 
 
 def stream_bars_filled(spark, sf_dir):
+    """Gap-free bars from two streams, the second reading the first's table; a tick ends the last day in both."""
+    use_utc(spark)
+    last = _trades(spark, sf_dir).agg(F.max("event_time_ns")).first()[0]
+    if last is None:
+        last = 0
+    close = (last // DAY_NS + 1) * DAY_NS + 2 * HOUR_MS * NS_PER_MS
+    clock = stream.write_clock(spark, close)
+    trades = stream.with_clock(stream.event_stream(spark, sf_dir, "events.parquet"), clock, "event_time_ns")
     path = scratch_path(spark, "bar-table")
-    _stream_bars(spark, sf_dir).write.parquet(path)
-    filled = stream.fill_stream(stream.bar_stream(spark, path), GRID.base_interval_ms)
-    return rounded(stream.run_to_table(filled, "filled"))
+    stream.run_to_table(stream.stream_bars(trades, GRID.base_interval_ms, "1 hour"), "bars").write.parquet(path)
+    bars_read = stream.with_clock(stream.bar_stream(spark, path), clock, "decision_time_ns")
+    filled = stream.run_to_table(stream.fill_stream(bars_read, GRID.base_interval_ms), "filled")
+    return rounded(stream.on_time(filled))
 
 
 QUERIES: dict[str, Query] = {
