@@ -301,3 +301,72 @@ def test_placebo_rotates_only_the_additions(spark):
     train, test = frame.where("date < '2024-01-05'"), frame.where("date >= '2024-01-05'")
     out = research.placebo_predictions(train, test, SETS, "y", 1.0, 7)
     assert out.count() == table[(table.date >= "2024-01-05") & table.y.notna()].shape[0]
+
+
+def test_fold_sums_of_rolling_folds_and_of_symbols_without_rows(spark):
+    """Differences of running sums equal direct sums; a symbol that starts late has zeros for the folds before it."""
+    table = _model_table()
+    names = list(SETS.baseline[:3])
+    late = table[table["date"] > "2024-01-05"].assign(symbol="ZZZ")
+    frame = _spark_table(spark, pd.concat([table, late]))
+    rolling = [(1, "2024-01-02", "2024-01-04"), (2, "2024-01-03", "2024-01-05"), (3, "2024-01-04", "2024-01-06")]
+    dates = sorted(table["date"].unique())
+    folds = spark.createDataFrame(
+        [
+            (f, d, "train", int(DAY0 + (dates.index(last) + 1) * DAY_NS))
+            for f, first, last in rolling for d in dates if first <= d <= last
+        ],
+        "fold int, date string, role string, boundary_ns long",
+    )
+    purge = 7_200
+    marked = frame.withColumn("late", F.pmod("decision_time_ns", F.lit(DAY_NS)) >= DAY_NS - purge * SECOND)
+    daily = linear.products(marked, ("symbol", "date", "late"), names, ["y"]).drop("target")
+    got = {(r["symbol"], r["fold"]): np.frombuffer(r["m"]).reshape(8, 8) for r in linear.fold_products(daily, folds).collect()}
+    assert set(got) == {(s, f) for s in ("AAA", "ZZZ") for f in (1, 2, 3)}
+    for (symbol, fold), matrix in got.items():
+        _, first, last = rolling[fold - 1]
+        rows = pd.concat([table, late])
+        rows = rows[(rows.symbol == symbol) & (rows.date >= first) & (rows.date <= last) & rows.y.notna()]
+        rows = rows[rows.decision_time_ns < DAY0 + (dates.index(last) + 1) * DAY_NS - purge * SECOND]
+        values = rows[names].to_numpy()
+        design = np.column_stack([np.ones(len(rows)), np.nan_to_num(values), np.isnan(values), rows.y])
+        assert matrix == pytest.approx(design.T @ design, abs=1e-9)
+    scaled = {
+        (r["symbol"], r["fold"]): r
+        for r in linear.scaling(
+            linear.fold_products(daily, folds),
+            linear.train_medians(splits.walk_forward_split(frame, folds, purge).where("y IS NOT NULL"), ("symbol", "fold"), names),
+            ("symbol", "fold"), names,
+        ).collect()
+    }
+    assert scaled["ZZZ", 1]["train_rows"] == 0 and scaled["ZZZ", 1]["names"] == []
+    own = table[(table.date <= "2024-01-04") & table.y.notna() & (table.decision_time_ns < DAY0 + 3 * DAY_NS - purge * SECOND)][names]
+    filled = own.fillna(own.median())
+    assert scaled["AAA", 1]["median"] == pytest.approx(own.median().tolist())
+    assert scaled["AAA", 1]["mean"] == pytest.approx(filled.mean().tolist())
+    assert scaled["AAA", 1]["deviation"] == pytest.approx(filled.std(ddof=0).tolist())
+
+
+def test_symbols_without_training_rows_have_null_fits(spark):
+    table = _model_table()
+    late = table[table["date"] > "2024-01-05"].assign(symbol="ZZZ")
+    frame = _spark_table(spark, pd.concat([table, late]))
+    folds = splits.expanding_folds(frame, 3, 1)
+    fits = research.linear_fits(frame, folds, SETS, "y", 1.0, 10)
+    empty = fits.where("train_rows = 0")
+    assert {r["fold"] for r in empty.where("symbol = 'ZZZ'").collect()} == {1, 2} and empty.where("symbol = 'AAA'").count() == 0
+    assert empty.where("_intercept IS NOT NULL").count() == 0
+    out = research.linear_predictions(frame, folds, SETS, "y", 1.0, 10)
+    assert {r["fold"] for r in out.where("symbol = 'ZZZ'").select("fold").distinct().collect()} == {3}
+    _, failures = research.logistic_predictions(frame, folds, SETS, "up", 1.0, 10)
+    assert [(r["symbol"], r["fold"]) for r in failures.orderBy("fold").collect()] == [("ZZZ", 1), ("ZZZ", 2)]
+
+
+def test_training_rows_are_stored_once_with_their_folds(spark):
+    table = _model_table()
+    frame = _spark_table(spark, table)
+    folds = splits.expanding_folds(frame, 3, 1)
+    once = splits.training_folds(frame, folds, 7_200)
+    many = splits.walk_forward_split(frame, folds, 7_200).where("role = 'train'").select("decision_time_ns", "fold")
+    assert once.count() == once.select("decision_time_ns").distinct().count()
+    assert sorted(map(tuple, once.select("decision_time_ns", F.explode("folds")).collect())) == sorted(map(tuple, many.collect()))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +13,3 @@ def array_sums(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     summed = frame.select(*keys, F.posexplode("m")).groupBy(*keys, "pos").agg(F.sum("col").alias("v"))
     packed = F.sort_array(F.collect_list(F.struct("pos", "v")))
     return summed.groupBy(*keys).agg(packed["v"].alias("m"))
-
-
-def sum_arrays(frame: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
-    """{key: element-wise sum of the array column ``m``}, for keys that are few."""
-    return {
-        tuple(row[k] for k in keys): np.array(row["m"], float) for row in array_sums(frame, keys).collect()
-    }

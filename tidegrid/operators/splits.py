@@ -92,6 +92,16 @@ def walk_forward_split(frame: DataFrame, folds: DataFrame, purge_seconds: int) -
     return frame.join(folds, "date").where(outside).drop("boundary_ns")
 
 
+def training_folds(frame: DataFrame, folds: DataFrame, purge_seconds: int) -> DataFrame:
+    """Each row that any fold trains on, once, with the array ``folds`` of those that do."""
+    days = folds.where("role = 'train'").groupBy("date").agg(
+        F.sort_array(F.collect_list(F.struct("fold", "boundary_ns"))).alias("folds")
+    )
+    purge, time = F.lit(purge_seconds * NS_PER_SECOND), F.col("decision_time_ns")
+    own = F.transform(F.filter("folds", lambda f: time < f["boundary_ns"] - purge), lambda f: f["fold"])
+    return frame.join(days, "date").withColumn("folds", own).where(F.size("folds") > 0)
+
+
 def require_folds(folds: DataFrame) -> None:
     """Raise when a date range is too short for one fold."""
     if not folds.limit(1).collect():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +14,6 @@ from tidegrid.session import stored
 PREDICTION_KEYS = ("symbol", "fold", "model", "scope")
 
 
-def _midnight_ns(date: str) -> int:
-    moment = datetime.fromisoformat(date).replace(tzinfo=UTC)
-    return int(moment.timestamp()) * NS_PER_SECOND
-
-
-def _next_day(date: str) -> str:
-    return (datetime.fromisoformat(date) + timedelta(days=1)).date().isoformat()
-
-
 def fold_training_mean(split: DataFrame, target: str, groups: Sequence[str] = ("symbol", "fold")) -> DataFrame:
     """Mean target of each fold's training rows."""
     return split.where("role = 'train'").groupBy(*groups).agg(F.avg(target).alias("training_mean"))
@@ -41,46 +31,47 @@ def reference_predictions(split: DataFrame, target: str) -> DataFrame:
     return joined.select("*", F.inline(pairs)).withColumn("scope", F.lit("reference"))
 
 
-def linear_predictions(
-    features: DataFrame, folds: DataFrame, sets: FeatureSets, target: str,
-    ridge_alpha: float, purge_seconds: int,
+def _fold_sums(features: DataFrame, folds: DataFrame, names: Sequence[str], target: str, purge_seconds: int) -> DataFrame:
+    """(symbol, fold, m): cross products of every fold's training rows, from one pass over the table."""
+    if not 0 <= purge_seconds * NS_PER_SECOND < DAY_NS:
+        raise ValueError("the purge must be shorter than a day")
+    late = F.pmod("decision_time_ns", F.lit(DAY_NS)) >= DAY_NS - purge_seconds * NS_PER_SECOND
+    daily = linear.products(features.withColumn("late", late), ("symbol", "date", "late"), names, [target])
+    return linear.fold_products(stored(daily.drop("target"), "day-sums"), folds)
+
+
+def _fold_medians(features: DataFrame, folds: DataFrame, names: Sequence[str], target: str, purge_seconds: int) -> DataFrame:
+    split = splits.walk_forward_split(features, folds, purge_seconds)
+    train = split.where((F.col("role") == "train") & F.col(target).isNotNull())
+    return linear.train_medians(train, ("symbol", "fold"), names)
+
+
+def linear_fits(
+    features: DataFrame, folds: DataFrame, sets: FeatureSets, target: str, ridge_alpha: float, purge_seconds: int
 ) -> DataFrame:
-    """Out-of-sample predictions of linear and ridge models, both scopes, every fold.
+    """Linear and ridge fits of both scopes for every (symbol, fold), NULL for one without training rows.
 
-    One pass collects cross products per (symbol, date); a fold's training sums are the sums
-    of its days, so overlapping training sets cost nothing. Rows within the purge before
-    midnight are summed apart and left out where that midnight is the fold's boundary.
+    One pass collects cross products per (symbol, date); a fold's training sums are a difference of running sums
+    over days, so overlapping training sets cost nothing. Sums and fits stay tables.
     """
-    if not 0 <= purge_seconds * NS_PER_SECOND < DAY_NS:
-        raise ValueError("the purge must be shorter than a day")
     names = sets.expanded
-    late = F.pmod("decision_time_ns", F.lit(DAY_NS)) >= DAY_NS - purge_seconds * NS_PER_SECOND
-    sums = linear.day_products(
-        features.withColumn("late", late), ("symbol", "date", "late"), names, [target]
+    return stored(
+        linear.fitted(
+            _fold_sums(features, folds, names, target, purge_seconds),
+            _fold_medians(features, folds, names, target, purge_seconds),
+            ("symbol", "fold"), names, {"baseline": sets.baseline, "expanded": names}, {"linear": 0.0, "ridge": ridge_alpha},
+        ),
+        "linear-fits",
     )
+
+
+def linear_predictions(
+    features: DataFrame, folds: DataFrame, sets: FeatureSets, target: str,
+    ridge_alpha: float, purge_seconds: int,
+) -> DataFrame:
+    """Out-of-sample predictions of linear and ridge models, both scopes, every fold that has training rows."""
+    table = linear_fits(features, folds, sets, target, ridge_alpha, purge_seconds).where("train_rows > 0")
     split = splits.walk_forward_split(features, folds, purge_seconds)
-    train = split.where((F.col("role") == "train") & F.col(target).isNotNull())
-    medians = linear.train_medians(train, ("symbol", "fold"), names)
-    members: dict[int, tuple[set[str], int]] = {}
-    for row in folds.where("role = 'train'").collect():  # one row per fold and day
-        held = members.setdefault(row["fold"], (set(), row["boundary_ns"]))
-        held[0].add(row["date"])
-    fits = {}
-    for (symbol, fold), filling in medians.items():
-        dates, boundary = members[fold]
-        total = sum(
-            matrix
-            for (name, date, tail, _), matrix in sums.items()
-            if name == symbol
-            and date in dates
-            and not (tail and _midnight_ns(_next_day(date)) == boundary)
-        )
-        filling = {n: filling.get(n, 0.0) for n in names}
-        for model, alpha in (("linear", 0.0), ("ridge", ridge_alpha)):
-            for scope, chosen in (("baseline", sets.baseline), ("expanded", names)):
-                fit = linear.solve(total, names, chosen, filling, alpha)
-                fits[(symbol, fold, model, scope)] = _widen(fit, chosen, names, filling)
-    table = linear.fits_table(features, fits, "symbol string, fold int, model string, scope string")
     scored = split.where((F.col("role") == "evaluate") & F.col(target).isNotNull()).join(
         table, ["symbol", "fold"]
     )
@@ -89,23 +80,11 @@ def linear_predictions(
         "date",
         "decision_time_ns",
         F.col(target).alias("actual"),
-        F.expr(linear.linear_score(names)).alias("predicted"),
+        F.expr(linear.linear_score(sets.expanded)).alias("predicted"),
         "training_mean",
     )
 
 
-def _widen(fit: linear.LinearFit, chosen, names, filling) -> linear.LinearFit:
-    """The same fit over all features, with zero weights for those it does not use."""
-    weights = dict(zip(chosen, fit.weights))
-    return linear.LinearFit(
-        tuple(filling[n] for n in names),
-        fit.intercept,
-        tuple(float(weights.get(n, 0.0)) for n in names),
-        fit.training_mean,
-        fit.train_rows,
-    )
-
-
 def fixed_split_predictions(
     train: DataFrame, evaluation_rows: DataFrame, sets: FeatureSets, targets: Sequence[str],
     ridge_alpha: float,
@@ -114,23 +93,16 @@ def fixed_split_predictions(
 
     Serves the horizon comparison and the replication on other symbols in one pass.
     """
-    names = sets.expanded
-    sums = linear.day_products(train, ("symbol",), names, targets)
+    names, scopes = sets.expanded, {"baseline": sets.baseline, "expanded": sets.expanded}
+    sums = stored(linear.products(train, ("symbol",), names, targets), "sums")
     parts = []
     for target in targets:
-        medians = linear.train_medians(
-            train.where(F.col(target).isNotNull()), ("symbol",), names
-        )
-        fits = {}
-        for (symbol,), filling in medians.items():
-            filling = {n: filling.get(n, 0.0) for n in names}
-            for scope, chosen in (("baseline", sets.baseline), ("expanded", names)):
-                fit = linear.solve(sums[(symbol, target)], names, chosen, filling, ridge_alpha)
-                fits[(symbol, scope)] = _widen(fit, chosen, names, filling)
-        table = linear.fits_table(train, fits, "symbol string, scope string")
+        medians = linear.train_medians(train.where(F.col(target).isNotNull()), ("symbol",), names)
+        own = sums.where(F.col("target") == target).select("symbol", "m")
+        table = stored(linear.fitted(own, medians, ("symbol",), names, scopes, {"ridge": ridge_alpha}), "fits")
         known = evaluation_rows.where(F.col(target).isNotNull())
         parts.append(
-            known.join(table, "symbol").select(
+            known.join(table.where("train_rows > 0"), "symbol").select(
                 "symbol",
                 F.lit(target).alias("target"),
                 "scope",
@@ -173,14 +145,19 @@ def logistic_predictions(
 
     All fits of the run advance together, one pass over the training rows per Newton step.
     """
-    names, groups = sets.expanded, ("symbol", "fold")
-    split = splits.walk_forward_split(features, folds, purge_seconds)
-    known = split.where(F.col(label).isNotNull())
-    train = stored(known.where("role = 'train'").select(*groups, label, *names), "training-rows")
-    scaling: dict = {}
-    for row in linear.train_scaling(train, groups, names).collect():
-        values = (row["median"], row["mean"], row["deviation"])
-        scaling.setdefault((row["symbol"], row["fold"]), {})[row["name"]] = values
+    names = sets.expanded
+    train = stored(
+        splits.training_folds(features.where(F.col(label).isNotNull()), folds, purge_seconds).select("symbol", "folds", label, *names),
+        "training-rows",
+    )
+    tables = linear.scaling(
+        _fold_sums(features, folds, names, label, purge_seconds),
+        _fold_medians(features, folds, names, label, purge_seconds), ("symbol", "fold"), names,
+    )
+    scaling = {  # three numbers for each feature of a fit
+        (r["symbol"], r["fold"]): dict(zip(r["names"], zip(r["median"], r["mean"], r["deviation"])))
+        for r in tables.collect()
+    }
     scopes = {"baseline": sets.baseline, "expanded": names}
     failures, complete = [], {}
     for (symbol, fold), table in scaling.items():
@@ -190,7 +167,7 @@ def logistic_predictions(
             missing = sorted(set(names) - set(table))
             failures.append((symbol, fold, "EmptyFeature", f"no training values: {missing}"))
     fitted = linear.logistic_fits(
-        train, groups, names, scopes, label, inverse_penalty, complete, iterations
+        train, "symbol", names, scopes, label, inverse_penalty, complete, iterations
     )
     fits = {
         (symbol, fold, "logistic", scope): linear.raw_scale_fit(
@@ -200,7 +177,8 @@ def logistic_predictions(
     }
     table = linear.fits_table(features, fits, "symbol string, fold int, model string, scope string")
     score = f"1.0D / (1.0D + exp(-({linear.linear_score(names)})))"
-    predictions = known.where("role = 'evaluate'").join(table, ["symbol", "fold"]).select(
+    split = splits.walk_forward_split(features, folds, purge_seconds)
+    predictions = split.where((F.col("role") == "evaluate") & F.col(label).isNotNull()).join(table, ["symbol", "fold"]).select(
         *PREDICTION_KEYS, "date", "decision_time_ns", F.col(label).alias("actual"),
         F.expr(score).alias("predicted"),
     )
