@@ -11,6 +11,7 @@ SQL = oracles.build()
 ROWS_ONLY = {
     "hac_regression_expanded", "linear_walk_forward", "logistic_walk_forward", "walk_forward_metrics",
     "placebo_ridge", "horizon_metrics", "gbt_grid_search", "gbt_holdout", "holdout_evaluation",
+    "holdout_deciles", "holdout_economics",
 }
 
 

@@ -16,7 +16,7 @@ from tidegrid.functions.ordering import exact_median
 from tidegrid.operators import asof, bars, evaluation, fills, inference, ledger, linear, quality, splits, trees
 from tidegrid.operators.flow import label_names, predictor_names
 from tidegrid.params import DAY_NS, MARKETS, NS_PER_MS, ExecutionParams, FeatureSets, GridParams
-from tidegrid.plans import backtest, features as feature_plans, research
+from tidegrid.plans import backtest, features as feature_plans, models, research
 from tidegrid.session import scratch_path, stored, use_utc
 from tidegrid.sources import archives, tables
 from tidegrid.sources import trades as trade_source
@@ -54,6 +54,8 @@ PLACEBO_ROWS = 900
 BOOTSTRAP = {"replicates": 2_000, "seed": 20240101}
 RIDGE_ALPHA = 1.0
 TREE_GRID = trees.tree_grid()
+TUNING_BOUNDARY = "2024-01-11"
+VOLATILITY = f"spot_realised_volatility_{2 * HOUR_MS}ms"
 
 Query = Callable[[SparkSession, str], DataFrame]
 _written: dict = {}
@@ -592,7 +594,7 @@ def _tree_sample(frame: DataFrame) -> DataFrame:
 def _tree_search(spark, sf_dir) -> DataFrame:
     def make():
         development = _between(_features(spark, sf_dir), "development")
-        train, validation = splits.boundary_split(development, "2024-01-11", PURGE_SECONDS)
+        train, validation = splits.boundary_split(development, TUNING_BOUNDARY, PURGE_SECONDS)
         return research.tree_search(_tree_sample(train), validation, SETS.expanded, TARGET, TREE_GRID)
 
     return _once(spark, sf_dir, "tree_search", make)
@@ -613,22 +615,50 @@ def gbt_holdout(spark, sf_dir):
     return rounded(frame.select("symbol", "date", "decision_time_ns", "actual", "predicted"))
 
 
+def _holdout(spark, sf_dir) -> DataFrame:
+    """Trees chosen on development, refitted on development and confirmation, scored on the holdout once."""
+
+    def make():
+        features = _features(spark, sf_dir)
+        frame = research.tree_holdout(
+            _between(features, "development", "confirmation"), _between(features, "holdout"),
+            SETS.expanded, TARGET, research.chosen_trees(_tree_search(spark, sf_dir)), STRIDE_NS,
+        )
+        volatility = F.col(VOLATILITY).alias("volatility")
+        return frame.select("symbol", "date", "decision_time_ns", "actual", "predicted", "training_mean", volatility)
+
+    return _once(spark, sf_dir, "holdout", make)
+
+
 def holdout_evaluation(spark, sf_dir):
-    """Trees chosen on development, refitted on development and confirmation, one holdout score."""
-    features = _features(spark, sf_dir)
-    frame = research.tree_holdout(
-        _between(features, "development", "confirmation"), _between(features, "holdout"),
-        SETS.expanded, TARGET, research.chosen_trees(_tree_search(spark, sf_dir)), STRIDE_NS,
-    )
-    scored = stored(
-        frame.select("symbol", "date", "decision_time_ns", "actual", "predicted", "training_mean"),
-        "holdout",
-    )
+    """Predictive metrics of the holdout, overall and per day."""
+    scored = _holdout(spark, sf_dir).drop("volatility")
     overall = evaluation.regression_metrics(scored, ["symbol"]).withColumn("date", F.lit("all"))
     daily = evaluation.daily_regression_metrics(scored, ["symbol", "date"])
     return rounded(overall.unionByName(daily), 6)
 
 
+def holdout_deciles(spark, sf_dir):
+    """Mean outcome by decile of the holdout predictions."""
+    return rounded(evaluation.deciles_equal(_holdout(spark, sf_dir), ["symbol"], ["decision_time_ns"]))
+
+
+def holdout_economics(spark, sf_dir):
+    """The holdout predictions traded at the threshold carried from development, with what was skipped."""
+    limits = models.tree_thresholds(
+        _between(_features(spark, sf_dir), "development"), SETS.expanded, TARGET, research.chosen_trees(_tree_search(spark, sf_dir)),
+        TUNING_BOUNDARY, PURGE_SECONDS, STRIDE_NS, EXECUTION.threshold_sigma, VOLATILITY,
+    )
+    scored = _holdout(spark, sf_dir).withColumnRenamed("predicted", "prediction")
+    run = backtest.run_signals(_trades(spark, sf_dir), scored, limits, EXECUTION)
+    trades = backtest.primary_trades(run)
+    metrics = ledger.performance_metrics(trades, _primary_daily(run, trades), ["symbol"], EXECUTION.annualisation_days)
+    skipped = fills.execution_diagnostics(run.statuses, EXECUTION.primary_latency_ms).where(
+        (F.col("sizing") == "fixed") & (F.col("latency_ms") == EXECUTION.primary_latency_ms)
+    ).select("symbol", "skipped_entries", "skipped_exits")
+    return rounded(metrics.join(skipped, "symbol", "left").join(limits.select("symbol", "signal_threshold"), "symbol"))
+
+
 # --- B, C, I: fills and ledgers -------------------------------------------------------------
 
 
@@ -636,6 +666,35 @@ def signals(spark, sf_dir):
     return rounded(_backtest(spark, sf_dir).signals.select(*_SIGNAL_COLUMNS))
 
 
+def _model_run(spark, sf_dir) -> backtest.Backtest:
+    key = (spark.sparkContext.applicationId, sf_dir, "model-backtest")
+    if key not in _written:
+        features = _features(spark, sf_dir)
+        fitted = models.ridge_models(
+            _between(features, "development"), SETS.expanded, TARGET, RIDGE_ALPHA, TUNING_BOUNDARY, PURGE_SECONDS,
+            EXECUTION.threshold_sigma, VOLATILITY,
+        )
+        predicted = models.ridge_predictions(
+            fitted, _between(features, "confirmation", "holdout"), SETS.expanded, TARGET, VOLATILITY
+        )
+        _written[key] = backtest.run_signals(_trades(spark, sf_dir), stored(predicted, "model-predictions"), fitted, EXECUTION)
+    return _written[key]
+
+
+def model_signals(spark, sf_dir):
+    """Signals of a ridge fitted on development, at the threshold of its out-of-sample predictions there."""
+    return rounded(_model_run(spark, sf_dir).signals.select(*_SIGNAL_COLUMNS))
+
+
+def model_backtest(spark, sf_dir):
+    """Performance of the ridge signals at the primary latency and the reference cost."""
+    run = _model_run(spark, sf_dir)
+    trades = backtest.primary_trades(run)
+    return rounded(
+        ledger.performance_metrics(trades, _primary_daily(run, trades), ["symbol"], EXECUTION.annualisation_days)
+    )
+
+
 def sized_signals(spark, sf_dir):
     run = _backtest(spark, sf_dir)
     return rounded(
@@ -785,8 +844,8 @@ QUERIES: dict[str, Query] = {
         walk_forward_folds, walk_forward_split, reference_predictions, train_only_scaling,
         ols_two_feature, ridge_two_feature, hac_regression, hac_regression_expanded,
         linear_walk_forward, logistic_walk_forward, walk_forward_metrics, placebo_ridge,
-        horizon_metrics, gbt_grid_search, gbt_holdout, holdout_evaluation,
-        signals, sized_signals, asof_forward_fill, candidate_fills, non_overlapping_trades,
+        horizon_metrics, gbt_grid_search, gbt_holdout, holdout_evaluation, holdout_deciles, holdout_economics,
+        signals, model_signals, model_backtest, sized_signals, asof_forward_fill, candidate_fills, non_overlapping_trades,
         execution_diagnostics, apply_cost, daily_pnl, drawdown, performance_metrics, risk_weights,
         portfolio_candidates, portfolio_ledger, sensitivity_grid, pnl_reconciliation,
         regime_performance, stream_bars, stream_bars_filled,

@@ -44,14 +44,23 @@ class Backtest:
 
 def run_backtest(
     trades: DataFrame, calibration: DataFrame, evaluation: DataFrame, params: ExecutionParams
+) -> Backtest:
+    """A backtest with thresholds from the predictions of the calibration rows."""
+    thresholds = stored(signal_thresholds(calibration, params.threshold_sigma), "thresholds")
+    return run_signals(trades, evaluation, thresholds, params)
+
+
+def run_signals(
+    trades: DataFrame, evaluation: DataFrame, thresholds: DataFrame, params: ExecutionParams
 ) -> Backtest:
     """Signals, fills at every latency and the non-overlapping choice, once for all scenarios.
 
-    Neither size nor cost influences which trades are taken, so the choice is made once per
+    ``thresholds`` has a row (symbol, signal_threshold, median_volatility) per symbol, a model table for
+    example. Neither size nor cost influences which trades are taken, so the choice is made once per
     latency; sizes and costs are columns added afterwards. The chosen trades are stored: they
     are few and every scenario table reads them.
     """
-    thresholds = stored(signal_thresholds(calibration, params.threshold_sigma), "thresholds")
+    thresholds = thresholds.select("symbol", "signal_threshold", "median_volatility")
     chosen = fills.signals(with_thresholds(evaluation, thresholds))
     candidates = fills.candidate_fills(
         chosen, fills.spot_index(trades), params.latencies_ms, params.holding_seconds
