@@ -9,9 +9,8 @@ from tidegrid import catalog, oracles
 
 SQL = oracles.build()
 ROWS_ONLY = {
-    "hac_regression_expanded", "linear_walk_forward", "logistic_walk_forward", "walk_forward_metrics",
-    "placebo_ridge", "horizon_metrics", "gbt_grid_search", "gbt_holdout", "holdout_evaluation",
-    "holdout_deciles", "holdout_economics",
+    "hac_regression_expanded", "logistic_walk_forward", "walk_forward_metrics",
+    "gbt_grid_search", "gbt_holdout", "holdout_evaluation", "holdout_deciles", "holdout_economics",
 }
 
 
