@@ -9,7 +9,7 @@ from tidegrid import catalog, oracles
 
 SQL = oracles.build()
 ROWS_ONLY = {
-    "hac_regression_expanded", "logistic_walk_forward", "walk_forward_metrics",
+    "hac_regression_expanded",
     "gbt_grid_search", "gbt_holdout", "holdout_evaluation", "holdout_deciles", "holdout_economics",
 }
 

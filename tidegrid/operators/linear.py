@@ -355,7 +355,7 @@ def logistic_fits(
     train: DataFrame, group: str, features: Sequence[str],
     scopes: Mapping[str, Sequence[str]], label: str, inverse_penalty: float,
     scaling: Mapping[tuple, Mapping[str, tuple[float, float, float]]],
-    iterations: int = 200, tolerance: float = 1e-8,
+    iterations: int = 200, tolerance: float = 1e-11,
 ) -> dict[tuple, np.ndarray]:
     """{(group, fold, scope): intercept and weights on standardised features}.
 
