@@ -43,8 +43,9 @@ _PLAIN = bytes.maketrans(CAPITALS + ENDS + BLANKS, SMALL + b"\n" * len(ENDS) + b
 #: The production run.
 LEAST, LONGEST, TOP, PERCENT, SCALE = 100, 5, 2000, 100, 1000
 
-#: Entries of a container before it bursts, entries of a task before subtrees leave, bytes of text counted at once.
-BURST, MOST, CHUNK = 16_384, 1_000_000, 4 << 20
+#: Entries of a container before it bursts, entries of a task before subtrees leave, bytes of text counted at once,
+#: refused words that a task remembers.
+BURST, MOST, CHUNK, REFUSED = 16_384, 1_000_000, 8 << 20, 400_000
 
 #: Bits of each map of frequent words and pairs (8 MB).
 FILTER_BITS = 1 << 26
@@ -167,26 +168,29 @@ class Ids:
         self.crc: list[int] = []
 
     def of(self, words: pa.DictionaryArray) -> np.ndarray:
-        known = []
-        start = zlib.crc32(self.lead)
-        for word in words.dictionary.to_pylist():
-            number = self.ids.get(word)
-            if number is None:
-                crc, number = zlib.crc32(word, start), -1
-                if self.frequent is None or _has(self.frequent, crc):
-                    number = self.ids[word] = len(self.words)
-                    self.words.append(word)
-                    self.crc.append(crc)
-            known.append(number)
-        return np.array(known, np.int64)[words.indices.to_numpy(zero_copy_only=False)] if known else np.zeros(0, np.int64)
-
+        given = words.dictionary.to_pylist()
+        numbers = list(map(self.ids.get, given))
+        new = [i for i, number in enumerate(numbers) if number is None]
+        if new:
+            start = zlib.crc32(self.lead)
+            crc = [zlib.crc32(given[i], start) for i in new]
+            passes = [1] * len(new) if self.frequent is None else _has(self.frequent, np.array(crc, np.int64)).tolist()
+            for i, code, passed in zip(new, crc, passes):
+                numbers[i] = self.ids[given[i]] = len(self.words) if passed else -1
+                if passed:
+                    self.words.append(given[i])
+                    self.crc.append(code)
+        found = np.array(numbers, np.int64)[words.indices.to_numpy(zero_copy_only=False)] if given else np.zeros(0, np.int64)
+        if len(self.ids) - len(self.words) > REFUSED:
+            self.ids = {word: number for number, word in enumerate(self.words)}
+        return found
 
     @property
     def parts(self) -> np.ndarray:
         """In how many parts the phrases of each first word are dealt."""
         parts = np.ones(len(self.words), np.int64)
         for (lang, word), some in self.heavy.items():
-            if lang == self.lang and (number := self.ids.get(word.encode())) is not None:
+            if lang == self.lang and (number := self.ids.get(word.encode(), -1)) >= 0:
                 parts[number] = some
         return parts
 
