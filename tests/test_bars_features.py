@@ -7,7 +7,7 @@ from helpers import DAY0, MS, column, trades
 from tidegrid.operators import flow
 from tidegrid.operators.bars import base_bars, market_bars
 from tidegrid.operators.quality import validate_features
-from tidegrid.params import FeatureSets, GridParams
+from tidegrid.params import DAY_NS, FeatureSets, GridParams
 from tidegrid.plans import features
 from tidegrid.plans.features import MARKET_DAY
 
@@ -19,21 +19,25 @@ def hours(n):
     return n * HOUR * MS
 
 
-def test_event_on_a_boundary_belongs_to_the_next_bar(spark):
+def test_bars_are_open_on_the_right_in_both_markets(spark):
+    """Quarter-hour bars: an event at midnight opens the day's first bar, one on an edge opens the bar after it."""
+    quarter = 900_000 * MS
+    edge, near = 5 * quarter, 5 * quarter - MS
     frame = trades(
         spark,
         [
-            ("spot", hours(0.5).__int__(), 1, 10, 1, False),
-            ("spot", hours(1), 2, 11, 2, False),
-            ("spot", int(hours(1.5)), 3, 12, 3, True),
+            ("spot", 0, 1, 7.0, 4.0, True), ("spot", near, 2, 8.0, 0.5, False), ("spot", edge, 3, 9.0, 0.25, True),
+            ("perpetual", near, 4, 70.0, 3.0, True), ("perpetual", edge, 5, 71.0, 6.0, True), ("perpetual", DAY_NS - 1, 6, 72.0, 1.0, False),
         ],
     )
-    bars = base_bars(frame, HOUR * MS)
-    assert bars.count() == 24
-    assert column(bars, "quantity", "decision_time_ns")[:3] == [1.0, 5.0, 0.0]
-    assert column(bars, "decision_time_ns", "decision_time_ns")[0] == DAY0 + hours(1)
-    assert column(bars, "last_price", "decision_time_ns")[1:4] == [12.0, 12.0, 12.0]
-    assert column(bars, "seller_trade_count", "decision_time_ns")[:2] == [0, 1]
+    bars = base_bars(frame, quarter)
+    assert bars.groupBy("market_type").count().orderBy("market_type").collect() == [("perpetual", 96), ("spot", 96)]
+    at = {(r["market_type"], (r["decision_time_ns"] - DAY0) // quarter): r for r in bars.collect()}
+    assert [at["spot", n]["quantity"] for n in (1, 2, 5, 6, 7)] == [4.0, 0.0, 0.5, 0.25, 0.0]
+    assert [at["spot", n]["last_price"] for n in (1, 4, 5, 6, 96)] == [7.0, 7.0, 8.0, 9.0, 9.0]
+    assert [at["spot", n]["seller_trade_count"] for n in (1, 5, 6)] == [1, 0, 1]
+    assert [at["perpetual", n]["last_price"] for n in (4, 5, 6, 95, 96)] == [None, 70.0, 71.0, 71.0, 72.0]
+    assert at["perpetual", 96]["buyer_trade_count"] == 1 and ("spot", 0) not in at
 
 
 def test_ties_take_the_highest_id_and_prices_carry_forward(spark):

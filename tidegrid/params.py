@@ -1,4 +1,7 @@
-"""Plain parameter objects, validated on construction."""
+"""Plain parameter objects, validated on construction.
+
+Their defaults are fixed values of the production run.
+"""
 
 from __future__ import annotations
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The columns of a stored trade.
 CANONICAL_TRADES = T.StructType(
     [
         T.StructField("exchange", T.StringType()),
