@@ -1,11 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+
 from helpers import DAY0, DATE0, MS, SECOND, rows, trades
 
 from tidegrid.operators import asof, fills, ledger
 from tidegrid.params import ExecutionParams
 from tidegrid.plans import backtest
+from tidegrid.session import stored
 
 
 def _requests(spark, targets):
@@ -15,16 +18,15 @@ def _requests(spark, targets):
     )
 
 
-@pytest.mark.parametrize("slice_rows", [5, 2_000_000])
-def test_asof_equals_binary_search(spark, slice_rows):
+@pytest.mark.parametrize("bucket_ns", [7_000, 60 * SECOND, 86_400 * SECOND])
+def test_asof_equals_binary_search(spark, bucket_ns):
     rng = np.random.default_rng(5)
     # A third of the events in one second, the rest over a few hours; many equal times.
     crowd = 3_600 * SECOND + rng.integers(0, 20, 100) * 1_000
     times = np.concatenate([crowd, rng.integers(0, 6 * 3_600, 200) * SECOND])
     events = trades(spark, [("spot", int(t), i, 100 + i, 1, False) for i, t in enumerate(times)])
     targets = [int(t) for t in np.concatenate([crowd[:30], rng.integers(0, 7 * 3_600, 60) * SECOND, [0]])]
-    index = asof.index_events(events, ("symbol", "date"), slice_rows=slice_rows)
-    assert (index.hot is None) == (slice_rows > 300)
+    index = asof.index_events(events, ("symbol", "date"), bucket_ns)
     out = asof.first_at_or_after(_requests(spark, [*targets, None]), index, "target", "hit")
     got = {r["n"]: (r["hit_time_ns"], r["hit_price"]) for r in out.collect()}
     order = np.lexsort((np.arange(len(times)), times))
@@ -38,10 +40,10 @@ def test_asof_equals_binary_search(spark, slice_rows):
     assert got[len(targets)] == (None, None) and len(got) == len(targets) + 1
 
 
-@pytest.mark.parametrize("slice_rows", [10, 2_000_000])
-def test_equal_requests_all_get_an_answer(spark, slice_rows):
+@pytest.mark.parametrize("bucket_ns", [SECOND, 3_600 * SECOND])
+def test_equal_requests_all_get_an_answer(spark, bucket_ns):
     events = trades(spark, [("spot", i * SECOND, i, 100 + i, 1, False) for i in range(50)])
-    index = asof.index_events(events, ("symbol", "date"), slice_rows=slice_rows)
+    index = asof.index_events(events, ("symbol", "date"), bucket_ns)
     requests = _requests(spark, [i * SECOND for i in range(60)])
     out = asof.first_at_or_after(requests.unionByName(requests).unionByName(requests), index, "target", "hit")
     got = [r["hit_time_ns"] for r in out.orderBy("n").collect()]
@@ -57,6 +59,30 @@ def test_nothing_matches_across_days(spark):
     assert out.first()["hit_time_ns"] is None
 
 
+def test_no_event_is_shuffled_or_sorted_as_a_row(spark):
+    """Events meet their targets by a broadcast of checked size and are combined before the only shuffle."""
+    events = trades(spark, [("spot", i * SECOND, i, 100 + i, 1, False) for i in range(50)])
+    index = asof.index_events(events, ("symbol", "date"))
+    targets = spark.createDataFrame(
+        [("AAA", DATE0, DAY0, [DAY0, DAY0 + 5])],
+        "symbol string, date string, _bucket long, _targets array<long>",
+    )
+    targets = stored(targets, "targets")
+    plan = asof.earliest_events(index, targets)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    assert sum("Exchange hashpartitioning" in line for line in lines) == 1
+    assert "HashAggregate" in lines[exchange + 1] and "Sort " not in plan
+    assert any("BroadcastHashJoin" in line for line in lines[exchange:])
+
+
+def test_a_null_key_matches_nothing(spark):
+    events = trades(spark, [("spot", 5, 1, 100, 1, False)]).withColumn("symbol", F.lit(None).cast("string"))
+    asked = _requests(spark, [1]).withColumn("symbol", F.lit(None).cast("string"))
+    out = asof.first_at_or_after(asked, asof.index_events(events, ("symbol", "date")), "target", "hit")
+    assert out.first()["hit_time_ns"] is None
+
+
 def _signals(spark, times):
     return spark.createDataFrame(
         [("AAA", DATE0, DAY0 + t, p, 0.1, 1.0, 0.1) for t, p in times],

@@ -18,15 +18,9 @@ HIT = ("event_time_ns", "aggregate_trade_id", "price")
 
 @dataclass(frozen=True)
 class EventIndex:
-    """Events cut into time buckets, with each bucket's first event and the crowded buckets.
-
-    ``hot`` is None when no bucket exceeds ``slice_rows``; otherwise it holds (keys, bucket,
-    slices) as a stored table, whose true size lets the planner choose the join.
-    """
+    """Events with the keys they match on, cut into time buckets."""
 
     events: DataFrame
-    firsts: DataFrame
-    hot: DataFrame | None
     keys: tuple[str, ...]
     bucket_ns: int
 
@@ -35,109 +29,64 @@ def bucket_of(time, bucket_ns: int):
     return time - F.pmod(time, F.lit(bucket_ns))
 
 
-def index_events(
-    events: DataFrame,
-    keys: Sequence[str],
-    bucket_ns: int = 3_600 * NS_PER_SECOND,
-    slice_rows: int = 2_000_000,
-) -> EventIndex:
-    """Prepare events for any number of as-of lookups.
+def index_events(events: DataFrame, keys: Sequence[str], bucket_ns: int = 60 * NS_PER_SECOND) -> EventIndex:
+    """Prepare events for any number of as-of lookups; nothing is read or written yet.
 
-    Counting rows per bucket (one map-side combined pass over three columns) finds buckets too
-    large for one task. At most rows/slice_rows buckets can be that large.
+    A bucket should hold few distinct targets: every event of a requested bucket is compared with them.
     """
-    placed = events.select(
-        *keys, *HIT, bucket_of(F.col("event_time_ns"), bucket_ns).alias("_bucket")
-    )
+    bucket = bucket_of(F.col("event_time_ns"), bucket_ns).alias("_bucket")
+    return EventIndex(events.select(*keys, *HIT, bucket), tuple(keys), bucket_ns)
+
+
+def earliest_events(index: EventIndex, targets: DataFrame) -> DataFrame:
+    """(keys, _bucket, _slot, _hit): the earliest event of each bucket and, inside requested buckets, of each slot.
+
+    ``targets`` has the ascending distinct targets of each requested bucket. A slot begins at a target and
+    ends at the next one; NULL is the part of a bucket before its first target. The first event at or after
+    any target is the earliest of its own slot: no other target lies between the two. So this aggregation,
+    combined before the shuffle, keeps every event that can answer a request, and no event is shuffled
+    or sorted as a row, however crowded its bucket is.
+    """
+    slot = F.array_max(F.filter("_targets", lambda at: at <= F.col("event_time_ns")))
+    bucket = [*index.keys, "_bucket"]
     order = event_order(F.col("event_time_ns"), F.col("aggregate_trade_id"))
-    firsts = (
-        placed.withColumn("_order", order)
-        .groupBy(*keys, "_bucket")
-        .agg(
-            F.min("event_time_ns").alias("event_time_ns"),
-            *(F.min_by(c, "_order").alias(c) for c in ("aggregate_trade_id", "price")),
-        )
-        .select(*keys, "_bucket", F.struct(*HIT).alias("_first"))
+    placed = index.events.join(targets, bucket, "left").select(
+        *index.events.columns, slot.alias("_slot"), order.alias("_order")
     )
-    crowded = placed.groupBy(*keys, "_bucket").count().where(F.col("count") > slice_rows)
-    slices = crowded.select(
-        *keys, "_bucket", F.ceil(F.col("count") / slice_rows).cast("int").alias("_slices")
-    )
-    hot = stored(slices, "crowded-buckets")
-    return EventIndex(placed, firsts, None if hot.isEmpty() else hot, tuple(keys), bucket_ns)
+    return placed.groupBy(*bucket, "_slot").agg(
+        F.min("event_time_ns").alias("event_time_ns"),
+        *(F.min_by(c, "_order").alias(c) for c in ("aggregate_trade_id", "price")),
+    ).select(*bucket, "_slot", F.struct(*HIT).alias("_hit"))
 
 
 def first_at_or_after(requests: DataFrame, index: EventIndex, target: str, prefix: str) -> DataFrame:
     """Add ``{prefix}_time_ns`` and ``{prefix}_price`` of the first event with time >= target.
 
     Equal times resolve to the lowest id. Only events with the same keys match, so nothing
-    crosses a day when the date is a key. Rows stay in their time bucket: a request first
-    looks at later events of its own bucket, then at the first event of the next non-empty
-    bucket. A crowded bucket is split by a hash of the event; its requests visit every slice
-    and keep the earliest hit. Equal requests are looked up once, whatever the bucket's size, and
-    all of them are answered.
+    crosses a day when the date is a key; a NULL key or target matches nothing. Requests are read twice.
+    Their distinct targets are a stored table, whose true size lets the planner broadcast it to the events
+    or not. What is ordered afterwards are non-empty buckets and distinct targets, per key. Equal requests are
+    looked up once and all of them are answered.
     """
     keys, bucket = list(index.keys), [*index.keys, "_bucket"]
-    # A NULL target (nothing to look up) never matches and must not order before real events.
     asked = requests.where(F.col(target).isNotNull()).select(
-        *keys,
-        bucket_of(F.col(target), index.bucket_ns).alias("_bucket"),
-        F.col(target).alias("_at"),
-        F.struct(*requests.columns).alias("_request"),
-    )
-    asked = asked.groupBy(*asked.columns).agg(F.count("*").cast("int").alias("_copies"))
-    later = W.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(
-        W.unboundedPreceding, -1
+        *keys, bucket_of(F.col(target), index.bucket_ns).alias("_bucket"), F.col(target).alias("_slot")
     )
-    following = (
-        asked.select(*bucket)
-        .distinct()
-        .unionByName(index.firsts.select(*bucket, "_first"), allowMissingColumns=True)
-        .groupBy(*bucket)
-        .agg(F.first("_first", True).alias("_first"))
-        .select(*bucket, F.last_value("_first", True).over(later).alias("_next"))
+    targets = stored(
+        asked.groupBy(*bucket).agg(F.sort_array(F.collect_set("_slot")).alias("_targets")), "targets"
     )
-    events, requested, slice_keys = index.events, asked, list(bucket)
-    if index.hot is not None:
-        slices = F.coalesce("_slices", F.lit(1))
-        events = events.join(index.hot, bucket, "left").select(
-            *index.events.columns,
-            F.pmod(F.xxhash64("event_time_ns", "aggregate_trade_id"), slices).alias("_slice"),
-        )
-        every = F.sequence(F.lit(0).cast("long"), (slices - 1).cast("long"))
-        requested = requested.join(index.hot, bucket, "left").select(
-            *asked.columns, F.explode(every).alias("_slice")
-        )
-        slice_keys.append("_slice")
-    backward = W.partitionBy(*slice_keys).orderBy(
-        F.col("_at").desc(), F.col("_asks").asc(), F.col("_id").desc()
+    wanted = targets.select(*bucket, F.explode("_targets").alias("_slot"), F.lit(True).alias("_wanted"))
+    both = earliest_events(index, targets).unionByName(wanted, allowMissingColumns=True)
+    slots = both.groupBy(*bucket, "_slot").agg(F.first("_hit", True).alias("_hit"), F.max("_wanted").alias("_wanted"))
+    # From late to early; the part before a bucket's first target comes last in its bucket.
+    backward = W.partitionBy(*keys).orderBy(
+        F.col("_bucket").desc(), F.col("_slot").desc_nulls_last()
     ).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # The request's columns travel as one struct, which is a single NULL on the many event rows.
-    both = requested.select(
-        *slice_keys, "_at", F.lit(1).alias("_asks"), F.lit(0).cast("long").alias("_id"), "_request", "_copies"
-    ).unionByName(
-        events.select(
-            *slice_keys,
-            F.col("event_time_ns").alias("_at"),
-            F.lit(0).alias("_asks"),
-            F.col("aggregate_trade_id").alias("_id"),
-            F.col("price").alias("_price"),
-        ),
-        allowMissingColumns=True,
-    )
-    event = F.when(
-        F.col("_asks") == 0,
-        F.struct(F.col("_at").alias(HIT[0]), F.col("_id").alias(HIT[1]), F.col("_price").alias(HIT[2])),
-    )
-    hits = both.withColumn("_hit", F.last_value(event, True).over(backward)).where("_asks = 1")
-    if index.hot is not None:
-        hits = hits.groupBy(*bucket, "_request", "_copies").agg(F.min("_hit").alias("_hit"))
-    hit = F.coalesce("_hit", "_next")
-    each = F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")
-    answered = hits.join(following, bucket, "left").select("_request", "_hit", "_next", each).select(
-        *(F.col(f"_request.{name}").alias(name) for name in requests.columns),
-        hit["event_time_ns"].alias(f"{prefix}_time_ns"),
-        hit["price"].alias(f"{prefix}_price"),
+    answers = slots.withColumn("_hit", F.last_value("_hit", True).over(backward)).where("_wanted").select(
+        *keys,
+        F.col("_slot").alias(target),
+        F.col("_hit.event_time_ns").alias(f"{prefix}_time_ns"),
+        F.col("_hit.price").alias(f"{prefix}_price"),
     )
-    nothing = requests.where(F.col(target).isNull())
-    return answered.unionByName(nothing, allowMissingColumns=True)
+    added = (f"{prefix}_time_ns", f"{prefix}_price")
+    return requests.join(answers, [*keys, target], "left").select(*requests.columns, *added)
