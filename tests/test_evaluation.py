@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -53,6 +55,22 @@ def test_exact_medians(spark, accuracy):
         assert row.median == part.median() and row.rows == len(part)
 
 
+def test_median_brackets_are_narrowed(spark):
+    """Few rows may be ordered at once: ties, outliers and magnitudes far apart need bin counts first."""
+    rng = np.random.default_rng(3)
+    parts = {
+        "spread": rng.normal(size=3_000),
+        "even": rng.normal(size=2_500),
+        "magnitudes": 10.0 ** rng.uniform(-200, 200, 3_001),
+        "ties": np.repeat([1.0, 2.0, 3.0], [900, 1_400, 701]),
+        "two": np.repeat([1.0, 5.0], [1_000, 1_000]),
+        "one": np.array([7.0]),
+    }
+    table = pd.DataFrame([(g, float(v)) for g, values in parts.items() for v in values], columns=["g", "v"])
+    got = exact_medians(spark.createDataFrame(table), ["g"], ["v"], accuracy=20, inside=10).toPandas()
+    assert dict(zip(got["g"], got["median"])) == {g: float(np.median(v)) for g, v in parts.items()}
+
+
 def test_regression_metrics(spark):
     table = _crowded().assign(training_mean=0.1)
     whole = evaluation.regression_metrics(spark.createDataFrame(table), ["g"]).toPandas().set_index("g")
@@ -154,6 +172,10 @@ def test_bootstrap_is_deterministic(spark):
     assert a["estimate"] == 1.5 and a["lower"] < 1.5 < a["upper"] and a["days"] == 8
     twice = frame.unionByName(frame.withColumn("improvement", F.col("improvement") + 0.0))
     assert inference.day_bootstrap(twice, "day", 200, 7).first() == a  # symbols of a day are one block
+    draws = [int(hashlib.md5(f"7-3-{i}".encode()).hexdigest()[:8], 16) % 8 for i in range(8)]
+    means = [np.mean([int(hashlib.md5(f"7-{r}-{i}".encode()).hexdigest()[:8], 16) % 8 - 2 for i in range(8)]) for r in range(200)]
+    assert means[3] == np.mean(draws) - 2
+    assert np.allclose([a["lower"], a["upper"]], np.quantile(means, [0.025, 0.975]))
     with pytest.raises(PySparkException):
         inference.day_bootstrap(frame.where("day = 0"), "day", 200, 7).collect()
 

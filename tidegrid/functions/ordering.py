@@ -81,15 +81,53 @@ def unpivot(frame: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Da
     return frame.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
+def _narrowed(long: DataFrame, brackets: DataFrame, keys: Sequence[str], inside: int, bins: int = 1024) -> DataFrame:
+    """Brackets cut down until each holds at most ``inside`` rows, or one value.
+
+    Every pass counts rows in equal bins of the bracket, combined before the shuffle, and keeps the bins
+    that hold the middle rows, from their least to their largest value. A pass shrinks the range at least
+    by the number of bins; a spread that resists 32 passes goes on with a wide bracket, not a wrong one.
+    """
+    value, low, high, rows = F.col("value"), F.col("_low"), F.col("_high"), F.col("rows")
+    share = F.least((value - low) / F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
+    cut = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
+    number = F.when(value < low, -1).when(low == high, 0).otherwise(cut)
+    upward = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = F.col("_reached") - F.col("_count")
+
+    def of(position: Column, wanted: Column) -> Column:
+        return F.max(F.when((before <= position) & (position < F.col("_reached")), wanted))
+
+    left, right = F.floor((rows - 1) / 2), F.floor(rows / 2)
+    for _ in range(32):
+        if (brackets.agg(F.max("_inside")).first()[0] or 0) <= inside:
+            break
+        binned = (
+            long.join(brackets, list(keys)).where(value <= high)
+            .groupBy(*keys, "rows", "_low", "_high", number.alias("_bin"))
+            .agg(F.count("*").alias("_count"), F.min("value").alias("_least"), F.max("value").alias("_largest"))
+        )
+        found = binned.withColumn("_reached", F.sum("_count").over(upward)).groupBy(*keys, "rows").agg(
+            F.coalesce(of(left, F.col("_least")), F.max("_low")).alias("_low"),
+            F.coalesce(of(right, F.col("_largest")), F.max("_high")).alias("_high"),
+            (of(right, F.col("_reached")) - of(left, before)).alias("_inside"),
+        )
+        many = F.when(low == high, 1).otherwise(F.coalesce("_inside", F.lit(0))).cast("long")
+        brackets = stored(found.withColumn("_inside", many), "brackets")
+    return brackets
+
+
 def exact_medians(
-    frame: DataFrame, groups: Sequence[str], columns: Sequence[str], accuracy: int = 10_000
+    frame: DataFrame, groups: Sequence[str], columns: Sequence[str], accuracy: int = 10_000,
+    inside: int = 1_000_000,
 ) -> DataFrame:
-    """(groups, name, median, rows): exact medians of many columns in two passes.
+    """(groups, name, median, rows): exact medians of many columns in two or more passes.
 
     The built-in median keeps every distinct value of a group in one buffer. The first pass
-    brackets each median with a quantile sketch of bounded size; the second counts the values
-    below the bracket and orders only the distinct values inside it, a few 1/accuracy of the
-    rows. A bracket that misses its median raises instead of giving a wrong answer.
+    brackets each median with a quantile sketch of bounded size. Where a bracket may still hold more than
+    ``inside`` rows, passes of bin counts narrow it. The last pass counts the values below the bracket and
+    orders the distinct values inside it, so no task orders more than ``inside`` of a group, whatever its
+    size. A bracket that misses its median raises instead of giving a wrong answer.
     """
     keys = [*groups, "name"]
     margin = 5.0 / accuracy
@@ -105,10 +143,16 @@ def exact_medians(
             for c in columns
         )
     )
-    brackets = stored(sketches.select(*groups, F.inline(F.array(*columns))), "brackets")
+    wide = sketches.select(*groups, F.inline(F.array(*columns))).select(
+        *keys,
+        "rows",
+        F.col("_bracket")[0].alias("_low"),
+        F.col("_bracket")[1].alias("_high"),
+        F.ceil(F.col("rows") * (2 * margin + 2.0 / accuracy)).alias("_inside"),
+    )
     long = unpivot(frame, groups, columns)
-    value = F.col("value")
-    low, high = F.col("_bracket")[0], F.col("_bracket")[1]
+    brackets = _narrowed(long, stored(wide, "brackets"), keys, inside).drop("_inside")
+    value, low, high = F.col("value"), F.col("_low"), F.col("_high")
     counted = (
         long.join(brackets, keys)
         .where(value <= high)
