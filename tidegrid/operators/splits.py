@@ -108,6 +108,29 @@ def require_folds(folds: DataFrame) -> None:
         raise ValueError("the dates do not fill one fold")
 
 
+def require_split(frame: DataFrame, folds: DataFrame, purge_seconds: int) -> None:
+    """Raise unless there are folds and each has training rows, evaluation rows, and the former all before the latter.
+
+    Looks at distinct decision times alone, which the grid bounds; one row at most reaches the driver.
+    """
+    require_folds(folds)
+    times = frame.select("date", "decision_time_ns").distinct()
+    trains, evaluates = F.col("role") == "train", F.col("role") == "evaluate"
+    sides = walk_forward_split(times, folds, purge_seconds).groupBy("fold").agg(
+        F.max(F.when(trains, F.col("decision_time_ns"))).alias("last_train"),
+        F.min(F.when(evaluates, F.col("decision_time_ns"))).alias("first_evaluation"),
+    )
+    problem = (
+        F.when(F.col("last_train").isNull(), "has no training rows")
+        .when(F.col("first_evaluation").isNull(), "has no evaluation rows")
+        .when(F.col("last_train") >= F.col("first_evaluation"), "trains on rows after its evaluation begins")
+    )
+    found = folds.select("fold").distinct().join(sides, "fold", "left").select("fold", problem.alias("problem"))
+    bad = found.where("problem IS NOT NULL").orderBy("fold").limit(1).collect()
+    if bad:
+        raise ValueError(f"fold {bad[0]['fold']} {bad[0]['problem']}")
+
+
 def boundary_split(
     frame: DataFrame, boundary_date: str, purge_seconds: int, embargo_seconds: int | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -69,7 +69,11 @@ def linear_predictions(
     features: DataFrame, folds: DataFrame, sets: FeatureSets, target: str,
     ridge_alpha: float, purge_seconds: int,
 ) -> DataFrame:
-    """Out-of-sample predictions of linear and ridge models, both scopes, every fold that has training rows."""
+    """Out-of-sample predictions of linear and ridge models, both scopes, every fold that a symbol has training rows in.
+
+    A fold with an empty or overlapping side raises.
+    """
+    splits.require_split(features, folds, purge_seconds)
     table = linear_fits(features, folds, sets, target, ridge_alpha, purge_seconds).where("train_rows > 0")
     split = splits.walk_forward_split(features, folds, purge_seconds)
     scored = split.where((F.col("role") == "evaluate") & F.col(target).isNotNull()).join(
