@@ -158,6 +158,25 @@ def test_purge_around_the_boundary(spark):
     assert (left.count(), right.count()) == (1, 1)
 
 
+def test_bad_splits_raise(spark):
+    def folded(days, frame_days, initial=2, evaluation=2, purge=0):
+        folds = splits.expanding_folds(_dates(spark, days), initial, evaluation)
+        frame = _dates(spark, days).where(F.col("date").isin(frame_days))
+        time = F.unix_date(F.col("date").cast("date")).cast("long") * DAY_NS
+        splits.require_split(frame.withColumn("decision_time_ns", time), folds, purge)
+
+    every = [f"2024-01-0{d}" for d in range(1, 7)]
+    folded(6, every)
+    with pytest.raises(ValueError, match="do not fill one fold"):
+        folded(3, every)
+    with pytest.raises(ValueError, match="fold 2 has no evaluation rows"):
+        folded(6, every[:4])
+    with pytest.raises(ValueError, match="fold 1 has no training rows"):
+        folded(6, every[2:])
+    with pytest.raises(ValueError, match="fold 1 has no training rows"):
+        folded(6, every, purge=3 * 86_400)  # the purge leaves nothing
+
+
 def test_sealed_periods_are_unreadable(spark):
     periods = [("a", "2024-01-01", "2024-01-02", "open"), ("b", "2024-01-03", "2024-01-09", "sealed")]
     out = splits.sample_periods(_dates(spark, 5), periods)

@@ -150,6 +150,61 @@ def test_trade_table_round_trip_and_rerun(spark, tmp_path):
     assert inventory.agg(F.sum("rows")).first()[0] == frame.count()
 
 
+def test_physical_order_across_blocks(spark, tmp_path):
+    frame, path = _some(spark), str(tmp_path / "trades")
+    backwards = frame.where("market_type = 'spot'").unionByName(
+        frame.where("market_type = 'perpetual'").withColumn("event_time_ns", F.lit(DAY0))
+    )
+    order = [-F.col("event_time_ns"), -F.col("aggregate_trade_id")]
+    tables.write_trades(backwards, path, order=order)
+    for block in (1, 4, 1_000_000):
+        report = quality.physical_order(tables.read_trades(spark, path), ["market_type"], block)
+        got = rows(report.select("market_type", "rows", "time_reversals", "id_disorders", "in_order"), "market_type")
+        assert got == [("perpetual", 39, 0, 38, False), ("spot", 39, 38, 0, False)]
+    tables.write_trades(backwards, path)
+    report = quality.physical_order(tables.read_trades(spark, path), ["market_type"], 4)
+    assert [r["in_order"] for r in report.collect()] == [True, True]
+
+
+def test_a_write_that_dies_leaves_the_committed_table(spark, tmp_path):
+    frame, path = _some(spark), str(tmp_path / "trades")
+    assert tables.commit_trades(frame, path, slice_ids=10) == 1
+
+    def total(number=None):
+        table = tables.read_committed_trades(spark, path, number)
+        return table.groupBy("market_type").agg(F.sum("price"), F.count("*")).orderBy("market_type").collect()
+
+    before = total()
+    changed = frame.withColumn("price", F.col("price") + 1_000.0)
+    broken = F.when(F.col("aggregate_trade_id") == 33, F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(PySparkException):
+        tables.commit_trades(changed.withColumn("quantity", broken.otherwise(F.col("quantity"))), path, slice_ids=10)
+    assert total() == before
+    # All files written, but the run dies before its commit.
+    tables.write_trades(changed, f"{path}/files/version=dead")
+    assert total() == before
+    assert tables.commit_trades(changed.where("market_type = 'spot'"), path) == 2
+    after = total()
+    assert after[0] == before[0] and after[1][1] == before[1][1] + 39_000 and after[1][2] == 39
+    assert total(1) == before
+    # A second writer that started from the first commit is refused and changes nothing.
+    late = str(tmp_path / "trades" / "commits" / "_waiting-late")
+    spark.range(1).write.parquet(late)
+    with pytest.raises(Exception, match="FileAlreadyExists|already exists|Rename"):
+        tables._publish(spark, late, f"{path}/commits/2")
+    assert total() == after
+
+
+def test_replaced_versions_are_pruned(spark, tmp_path):
+    frame, path = _some(spark), str(tmp_path / "trades")
+    for _ in range(2):
+        tables.commit_trades(frame, path)
+    plan = tables.read_committed_trades(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    with pytest.raises(ValueError):
+        tables.read_committed_trades(spark, str(tmp_path / "nothing"))
+
+
 def test_feature_scan_prunes_partitions_and_columns(spark, tmp_path):
     path = str(tmp_path / "features")
     frame = spark.createDataFrame(

@@ -97,6 +97,47 @@ def validate_files(trades: DataFrame, symbols: Sequence[str]) -> DataFrame:
     return validate_trades(physical, ["file"], "row_index", symbols)
 
 
+def physical_order(trades: DataFrame, keys: Sequence[str], block_rows: int = 1_000_000) -> DataFrame:
+    """(keys, files, rows, time_reversals, id_disorders, in_order) of stored files along their physical rows.
+
+    A row is out of order when its (time, id) does not exceed that of the row before it in its file: a
+    reversal when the time falls, a disorder when times are equal and the id does not rise. Blocks of
+    consecutive rows are checked alone, then the edges between them, so a large file is not one task.
+    """
+    index = F.col("_metadata.row_index")
+    placed = trades.select(
+        *keys, "event_time_ns", "aggregate_trade_id", F.col("_metadata.file_path").alias("_file"),
+        index.alias("_row"), F.floor(index / block_rows).alias("_block"),
+    )
+    names = ("event_time_ns", "aggregate_trade_id")
+
+    def breaks(time, number, earlier_time, earlier_number):
+        reversal = F.coalesce(time < earlier_time, F.lit(False)).cast("long")
+        disorder = F.coalesce((time == earlier_time) & (number <= earlier_number), F.lit(False)).cast("long")
+        return reversal, disorder
+
+    inside = W.partitionBy(*keys, "_file", "_block").orderBy("_row")
+    reversal, disorder = breaks(*(F.col(n) for n in names), *(F.lag(n).over(inside) for n in names))
+    blocks = placed.withColumns({"_reversal": reversal, "_disorder": disorder}).groupBy(*keys, "_file", "_block").agg(
+        F.count("*").alias("rows"),
+        F.sum("_reversal").alias("_reversals"),
+        F.sum("_disorder").alias("_disorders"),
+        *(F.min_by(n, "_row").alias(f"_first_{n}") for n in names),
+        *(F.max_by(n, "_row").alias(f"_last_{n}") for n in names),
+    )
+    between = W.partitionBy(*keys, "_file").orderBy("_block")
+    reversal, disorder = breaks(
+        *(F.col(f"_first_{n}") for n in names), *(F.lag(f"_last_{n}").over(between) for n in names)
+    )
+    crossed = blocks.withColumns({"_crossing": reversal, "_touching": disorder})
+    return crossed.groupBy(*keys).agg(
+        F.count_distinct("_file").alias("files"),
+        F.sum("rows").alias("rows"),
+        F.sum(F.col("_reversals") + F.col("_crossing")).alias("time_reversals"),
+        F.sum(F.col("_disorders") + F.col("_touching")).alias("id_disorders"),
+    ).withColumn("in_order", (F.col("time_reversals") == 0) & (F.col("id_disorders") == 0))
+
+
 def duplicate_ids(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once and how often."""
     return frame.groupBy(*keys).agg(F.count("*").alias("occurrences")).where("occurrences > 1")
