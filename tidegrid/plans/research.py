@@ -147,8 +147,10 @@ def logistic_predictions(
 ) -> tuple[DataFrame, DataFrame]:
     """Probabilities per symbol, fold and scope, and the fits without a result.
 
-    All fits of the run advance together, one pass over the training rows per Newton step.
+    All fits of the run advance together, one pass over the training rows per Newton step. A fold with an
+    empty or overlapping side raises.
     """
+    splits.require_split(features, folds, purge_seconds)
     names = sets.expanded
     train = stored(
         splits.training_folds(features.where(F.col(label).isNotNull()), folds, purge_seconds).select("symbol", "folds", label, *names),
