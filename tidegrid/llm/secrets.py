@@ -19,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import kept
+from tidegrid.llm.common import kept, lean
 
 #: Base kinds in their order, with the least length that counts.
 ASSIGN = re.compile(
@@ -51,6 +52,18 @@ def _entropy(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
+def _joined(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans in order, overlapping ones as one."""
+    starts, ends = [], []
+    for start, end in sorted(spans):
+        if ends and start < ends[-1]:
+            ends[-1] = max(end, ends[-1])
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(start, rank of the kind, end, secret value) in order of start, then kind."""
     found = []
@@ -61,13 +74,18 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    taken = [(s, e) for s, _, e, _ in found]
+    starts, ends = _joined((s, e) for s, _, e, _ in found)
 
     def add(rank, pattern, fits=lambda value: True):
+        nonlocal starts, ends
+        more = []
         for m in pattern.finditer(text):
-            if fits(m[0]) and all(m.end() <= s or e <= m.start() for s, e in taken):
-                found.append((m.start(), rank, m.end(), m[0]))
-                taken.append(m.span())
+            at = bisect_right(ends, m.start())  # the first taken span that ends later
+            if (at == len(ends) or m.end() <= starts[at]) and fits(m[0]):
+                more.append((m.start(), rank, m.end(), m[0]))
+        if more:
+            found.extend(more)
+            starts, ends = _joined([*zip(starts, ends), *((s, e) for s, _, e, _ in more)])
 
     if "_" in text or "-" in text or "AIza" in text:
         add(3, PREFIXED)
@@ -89,7 +107,7 @@ def _scan(batches):
     kind = pa.struct(
         [("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("hash", pa.string())]
     )
-    for batch in batches:
+    for batch in lean(batches):
         spans = [
             [
                 {"start": s, "rank": r, "end": e, "kind": KINDS[r], "hash": hashlib.sha256(v.encode("utf-8", "replace")).hexdigest()}
