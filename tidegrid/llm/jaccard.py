@@ -12,11 +12,15 @@ loses no pair: of the groups that count for either set at most r differ. Groups
 passage that many texts share does not bring them together. The number of groups follows from a band of set
 sizes, and a set also enters the next band if a partner can lie there.
 
+A point has about one coordinate for four tokens, so that the bound stays as sharp for long sets as for short ones;
+points of different lengths are compared at the shorter one, to which the longer folds.
+
 Below the cells, members first meet one pivot, the member of the most populous cells. Linked sets form
 components, and cells within one component are done: this settles groups of near copies with one pair per
 member. In the other cells a packed R-tree finds the pairs between components whose bound suffices. Large
-cells are split into chunks, each pair of chunks a task. While components still merge, a member proposes
-one partner only (the one with most candidates); when no more merge, all remaining pairs are verified.
+cells are split into chunks, each pair of chunks a task. A block with no more pairs than members proposes them
+all and is done. In the others a member proposes one partner only (the one with most candidates) while components
+still merge; when no more merge, all their remaining pairs are verified. No pair is verified twice.
 
 Equal sets are one node from the start. A null or empty text has an empty set and links with nothing; rows
 with a null id take part without naming a component; repeated rows are equal sets. Hashes have 64 bits, of which
@@ -37,8 +41,9 @@ from tidegrid.llm.common import kept, kept_at, lean, release, settled
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import mixed, shingle_sets
 
+#: Coordinates of a short set's point, and the counts of one chunk.
 DIMENSIONS = 128
-CHUNK = 2048
+CHUNK_COUNTS = 2048 * DIMENSIONS
 PAGE = 32
 #: Stands for a null id in joins; sorts last.
 LAST = (1 << 63) - 1
@@ -95,8 +100,15 @@ class Rule:
         return np.concatenate(out)
 
 
+def dimensions(size: int) -> int:
+    """Coordinates of the point of a set: a power of two, about one for four tokens."""
+    return max(DIMENSIONS, 1 << (-(-size // 4) - 1).bit_length()) if size else DIMENSIONS
+
+
 def point(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).astype("<u4")
+    """Tokens counted by their last bits; a coordinate holds about four."""
+    length = dimensions(len(tokens))
+    return np.bincount((tokens & np.uint64(length - 1)).astype(np.int64), minlength=length).astype("<u2")
 
 
 def packed(tokens: np.ndarray) -> bytes:
@@ -171,9 +183,15 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches):
         for batch in lean(batches):
-            a, b = (_matrix(batch.column(name)) for name in ("ca", "cb"))
+            a, b = (batch.column(name).to_pylist() for name in ("ca", "cb"))
+            length = np.minimum(np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b)))
             n = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            fits = np.minimum(a, b).sum(axis=1) >= rule.needed(*n)
+            fits = np.zeros(len(a), bool)
+            for each in np.unique(length):
+                same = np.flatnonzero(length == each)
+                for some in np.array_split(same, -(-len(same) * int(each) // CHUNK_COUNTS)):
+                    x, y = (_matrix([side[k] for k in some], int(each) // 2) for side in (a, b))
+                    fits[some] = np.minimum(x, y).sum(axis=1) >= rule.needed(n[0][some], n[1][some])
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
@@ -181,8 +199,11 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, DIMENSIONS).astype(np.int64)
+def _matrix(points: list[bytes], length: int) -> np.ndarray:
+    """One row of ``length`` counts for each point; longer points fold."""
+    if all(len(p) == 2 * length for p in points):
+        return np.frombuffer(b"".join(points), "<u2").reshape(-1, length).astype(np.int32)
+    return np.stack([np.frombuffer(p, "<u2").reshape(-1, length).sum(axis=0, dtype=np.int32) for p in points])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -220,8 +241,9 @@ class Tree:
             if not len(near):
                 continue
             rows = slice(page * PAGE, (page + 1) * PAGE)
-            for at in range(0, len(near), 256):
-                some = near[at : at + 256]
+            step = max(1, 256 * DIMENSIONS // queries.shape[1])
+            for at in range(0, len(near), step):
+                some = near[at : at + step]
                 bound = np.minimum(queries[some, None, :], self.points[None, rows, :]).sum(axis=2)
                 out[some, rows] = bound >= rule.needed(sizes[some, None], self.sizes[None, rows])
         back = np.empty_like(self.order)
@@ -230,11 +252,12 @@ class Tree:
 
 
 def _block_pairs(node, component, sizes, points, chunk, i, j, rule, every):
-    """Pairs (a, b) of one block between components."""
+    """Pairs (a, b) of one block between components, and whether these are all of them."""
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
     found = Tree(points[right], sizes[right]).suffices(points[left], sizes[left], rule)
     found &= component[left, None] != component[right]
-    if every:
+    whole = every or np.count_nonzero(found) <= len(node)
+    if whole:
         a, b = np.nonzero(found)
     else:  # one partner for each: the one with most candidates
         a_degree, b_degree = found.sum(axis=1), found.sum(axis=0)
@@ -243,11 +266,14 @@ def _block_pairs(node, component, sizes, points, chunk, i, j, rule, every):
         to_a = np.argmax(found[:, b].T * (a_degree + 1), axis=1)
         a, b = np.concatenate([a, to_a]), np.concatenate([to_b, b])
     x, y = node[left[a]], node[right[b]]
-    return np.minimum(x, y), np.maximum(x, y)
+    return np.minimum(x, y), np.maximum(x, y), whole
 
 
 def _tree_pairs(open_members: DataFrame, rule: Rule, every: bool) -> DataFrame:
-    """(a, b): pairs in open cells between components whose bound suffices."""
+    """(a, b, cell): pairs in open cells between components whose bound suffices.
+
+    ``cell`` is null for pairs of a block that proposes all of its pairs.
+    """
 
     def blocks(batches):
         held = None
@@ -264,15 +290,18 @@ def _tree_pairs(open_members: DataFrame, rule: Rule, every: bool) -> DataFrame:
 
     def run(batches):
         for rows, borders in blocks(lean(batches)):
-            node, component, sizes, chunk, i, j = (
-                rows.column(name).to_numpy() for name in ("node", "component", "n", "chunk", "i", "j")
+            cell, node, component, sizes, chunk, i, j = (
+                rows.column(name).to_numpy() for name in ("cell", "node", "component", "n", "chunk", "i", "j")
             )
-            points = _matrix(rows.column("counts"))
+            counts = rows.column("counts")
             for start, end in zip(borders[:-1], borders[1:]):
                 part = slice(start, end)
-                a, b = _block_pairs(node[part], component[part], sizes[part], points[part], chunk[part], i[start], j[start], rule, every)
+                held = counts.slice(start, end - start).to_pylist()
+                points = _matrix(held, min(map(len, held)) // 2)
+                a, b, whole = _block_pairs(node[part], component[part], sizes[part], points, chunk[part], i[start], j[start], rule, every)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    own = pa.array([None if whole else cell[start]] * len(a), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), own], names=["a", "b", "cell"])
 
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = open_members.withColumn("other", other).select(
@@ -282,7 +311,7 @@ def _tree_pairs(open_members: DataFrame, rule: Rule, every: bool) -> DataFrame:
         "chunk", "node", "component", "n", "counts",
     )
     sorted_blocks = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return sorted_blocks.mapInArrow(run, "a long, b long").distinct()
+    return sorted_blocks.mapInArrow(run, "a long, b long, cell long").distinct()
 
 
 def _open_members(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -290,12 +319,12 @@ def _open_members(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> Dat
     placed = members.join(roots.select(F.col("id").alias("node"), "component"), "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    spread = placed.groupBy("cell").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
-    )
+    chunks = F.ceil(F.sum("coordinates") / CHUNK_COUNTS).cast("int")
+    spread = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), chunks.alias("chunks"))
     still = spread.filter(F.col("low") != F.col("high")).select("cell", "chunks")
     return (
-        placed.join(still, "cell")
+        placed.drop("coordinates")
+        .join(still, "cell")
         .withColumn("chunk", F.pmod(F.hash("node"), "chunks"))
         .join(nodes.select("node", "n", "counts"), "node")
     )
@@ -321,7 +350,8 @@ def similar(docs: DataFrame, words: int = 5, numerator: int = 4, denominator: in
         "nodes",
     )
     release(docs.sparkSession, whole_path)  # cells are large: they go as soon as they are used
-    each = nodes.select("node", F.explode("cells").alias("cell"))
+    coordinates = (F.octet_length("counts") / 2).cast("int").alias("coordinates")
+    each = nodes.select("node", coordinates, F.explode("cells").alias("cell"))
     members = kept(
         each.withColumn("held", F.count("*").over(W.partitionBy("cell"))).filter(F.col("held") > 1), "members"
     )
@@ -340,17 +370,23 @@ def similar(docs: DataFrame, words: int = 5, numerator: int = 4, denominator: in
     release(docs.sparkSession, nodes_path)
     sets = _sets(docs, indexed.select("node", "d", "th"), words)
     links = _verified(_bounded(stars, indexed, rule), sets, rule)
-    roots, every = components(links), False
+    roots, every, verified, cells = components(links), False, None, members
     while True:
-        proposed = kept(_tree_pairs(_open_members(members, indexed, roots), rule, every), "pairs")
-        more = _verified(proposed, sets, rule)
+        proposed = kept(_tree_pairs(_open_members(cells, indexed, roots), rule, every), "pairs")
+        pairs = proposed.select("a", "b").distinct()
+        if verified is not None:
+            pairs = pairs.join(verified.hint("merge"), ["a", "b"], "left_anti")
+        pairs = kept(pairs, "new-pairs")
+        verified = pairs if verified is None else verified.unionByName(pairs)
+        more = _verified(pairs, sets, rule)
         found = not more.isEmpty()
         if found:
             joined = more.unionByName(roots.select(F.col("id").alias("a"), F.col("component").alias("b")))
             roots = components(joined)
-        if every:
+        unfinished = kept(proposed.filter(F.col("cell").isNotNull()).select("cell").distinct(), "cells")
+        if every or unfinished.isEmpty():
             break
-        every = not found
+        every, cells = not found, members.join(unfinished.hint("merge"), "cell", "left_semi")
     placed = named.join(roots.select(F.col("id").alias("node"), "component"), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), "least"
     )
