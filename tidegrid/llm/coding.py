@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import kept
+from tidegrid.llm.common import kept, lean
 from tidegrid.llm.tokens import encoder
 from tidegrid.session import scratch_path
 
@@ -103,7 +103,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches, "tokens"):
             texts = batch.column("text").to_pylist()
             ids = [np.append(each, end_id).astype(np.uint32) for each in encoder(tokenizer).encode(texts)]
             yield pa.RecordBatch.from_arrays(
@@ -232,12 +232,16 @@ def read_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
     def sizes(batches):
         for batch in batches:
-            heads = [struct.unpack_from("<IQ", content.as_py(), 4)[1] for content in batch.column("content")]
             names = [path.rsplit("/", 1)[-1] for path in batch.column("path").to_pylist()]
+            system, root = _target(folder)
+            heads = []
+            for name in names:
+                with system.open_input_file(f"{root}/{name}") as stored:
+                    heads.append(struct.unpack_from("<IQ", stored.read(16), 4)[1])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heads, pa.int64())], names=["file", "count"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tgv").load(folder).select("path", "content")
-    counts = files.mapInArrow(sizes, "file string, count long")
+    counts = files.select("path").mapInArrow(sizes, "file string, count long")
     before = F.sum("count").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("file", F.coalesce(before, F.lit(0)).alias("offset"))
     documents = files.mapInArrow(decode, "file string, doc_id long, inside long, n_tokens long, ids binary")

@@ -4,12 +4,16 @@
 of its pieces between spaces and line ends, one after the other. Most pieces of a corpus are
 frequent words: each is encoded once by the tokenizers library and then looked up. A word of Latin
 letters and plain punctuation needs no normalizer but lower case and splits into runs of letters
-and runs of others, which go to the library's BPE model directly; every other word takes the
-library's whole chain.
+and runs of others. The new runs of a chunk of texts are spelled together and go to the library's model in
+one call, whose ids are cut after each id that ends a run; every other word takes the library's whole chain.
+
+All of this rests on the normalizer, splitter and special tokens of that file. A tokenizer with others encodes
+whole texts by the library alone.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -25,6 +29,14 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHERS = r"!-&(-/:-;=-@\[-`{-~"  # plain punctuation without ' (contractions) and < (special tokens)
 _PLAIN = re.compile(rf"[{_LETTERS}{_OTHERS}]+")
 _RUNS = re.compile(rf"[{_LETTERS}]+|[{_OTHERS}]+")
+_COMMON = re.compile(rf"([{_LETTERS}]*)[{_OTHERS}]*")  # a run of letters, then one of others
+
+#: The normalizers and splitters, and the pattern between words, with which words can be encoded one by one.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLITTERS = ["Split", "ByteLevel"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RUN_END = "</w>"
+MODEL_CALL = 1000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -51,6 +63,48 @@ class _Index(dict):
         return number
 
 
+class _Ids:
+    """Lists of ids by number, one after the other in one array."""
+
+    def __init__(self):
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray):
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of these lists."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at], lengths
+
+
+def _by_words(tokenizer) -> bool:
+    """Whether this tokenizer's ids of a text are those of its words, one after the other."""
+    parts = json.loads(tokenizer.to_str())
+    normalizer, splitter, model = (parts.get(name) or {} for name in ("normalizer", "pre_tokenizer", "model"))
+    steps, cuts = normalizer.get("normalizers", []), splitter.get("pretokenizers", [])
+    added = [token["content"] for token in parts.get("added_tokens", [])]
+    return (
+        [step["type"] for step in steps] == NORMALIZERS
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [cut["type"] for cut in cuts] == SPLITTERS
+        and cuts[0]["pattern"] == {"Regex": PATTERN}
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == RUN_END
+        and not model.get("dropout")
+        and parts.get("truncation") is None
+        and all("<" in content and not re.search(r"\s", content) for content in added)
+    )
+
+
 class WordEncoder:
     """``encode(texts)`` yields one array of uint32 ids per text (null: empty), in order."""
 
@@ -59,41 +113,68 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
+        self.by_words = _by_words(self._tokenizer)
+        if self.by_words:
+            self._model = Tokenizer(self._tokenizer.model)  # takes spelled runs as they are
+            self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+            for token, number in self._model.get_vocab(with_added_tokens=False).items():
+                self._ends[number] = token.endswith(RUN_END)
         self._cached_words = cached_words
         self._forget()
 
     def _forget(self):
-        self._index = _Index()
-        self._runs: dict[str, tuple[int, ...]] = {}
-        self._flat = np.zeros(0, np.uint32)
-        self._starts = np.zeros(0, np.int64)
-        self._lengths = np.zeros(0, np.int64)
-
-    def _run(self, run: str) -> tuple[int, ...]:
-        known = self._runs.get(run)
-        if known is None:
-            spelled = run.encode().decode("latin-1").translate(_BYTES)
-            known = self._runs[run] = tuple(t.id for t in self._model.tokenize(spelled))
-        return known
-
-    def _word(self, word: str):
-        if _PLAIN.fullmatch(word):
-            runs = _RUNS.findall(word.lower())
-            return self._run(runs[0]) if len(runs) == 1 else tuple(chain.from_iterable(map(self._run, runs)))
-        return self._tokenizer.encode(word, add_special_tokens=False).ids
+        self._index = _Index()  # words
+        self._runs = _Index()  # runs of plain words, and (word,) for each word that is not plain
+        self._word_ids, self._run_ids = _Ids(), _Ids()
+
+    def _spelled(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of runs."""
+        if not runs:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        spelled = "\n".join(runs).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])
+        calls = [spelled[at : at + MODEL_CALL] for at in range(0, len(spelled), MODEL_CALL)]
+        made = self._model.encode_batch_fast(calls, is_pretokenized=True, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(each.ids for each in made), np.uint32)
+        lengths = np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)
+        if len(lengths) != len(runs) or lengths.sum() != len(ids):
+            raise ValueError("the vocabulary does not spell every run")
+        return ids, lengths
+
+    def _learn_runs(self):
+        runs, self._runs.waiting = self._runs.waiting, []
+        whole = np.fromiter((type(run) is tuple for run in runs), bool, len(runs))
+        ids, lengths = self._spelled([run for run in runs if type(run) is not tuple])
+        if whole.any():
+            others = [self._tokenizer.encode(run[0], add_special_tokens=False).ids for run in runs if type(run) is tuple]
+            counts = np.zeros(len(runs), np.int64)
+            counts[~whole], counts[whole] = lengths, list(map(len, others))
+            rare, both = np.repeat(whole, counts), np.zeros(counts.sum(), np.uint32)
+            both[~rare], both[rare] = ids, list(chain.from_iterable(others))
+            ids, lengths = both, counts
+        self._run_ids.add(ids, lengths)
 
     def _learn(self):
         words, self._index.waiting = self._index.waiting, []
         if not words:
             return
-        ids = list(map(self._word, words))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self._flat) + np.cumsum(lengths) - lengths
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        self._flat = np.concatenate([self._flat, flat])
-        self._starts = np.concatenate([self._starts, starts])
-        self._lengths = np.concatenate([self._lengths, lengths])
+        run_of, numbers, counts = self._runs.__getitem__, [], []
+        for word, low in zip(words, "\n".join(words).lower().split("\n")):
+            common = _COMMON.fullmatch(word)  # lower case keeps the lengths of plain words
+            if common:
+                cut = common.end(1)
+                runs = (low,) if cut == len(low) or not cut else (low[:cut], low[cut:])
+                if not low:
+                    runs = ()
+            elif _PLAIN.fullmatch(word):
+                runs = _RUNS.findall(low)
+            else:
+                runs = ((word,),)
+            numbers.extend(map(run_of, runs))
+            counts.append(len(runs))
+        self._learn_runs()
+        ids, lengths = self._run_ids.of(np.array(numbers, np.int64))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        self._word_ids.add(ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
 
     def _chunk(self, texts):
         look_up = self._index.__getitem__
@@ -104,15 +185,18 @@ class WordEncoder:
             counts.append(len(words))
         self._learn()
         word = np.concatenate(numbers)
-        lengths = self._lengths[word]
+        ids, lengths = self._word_ids.of(word)
         ends = np.cumsum(lengths)
-        ids = self._flat[np.repeat(self._starts[word] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
         borders = ends[np.cumsum(counts) - 1]
         if len(self._index) > self._cached_words:
             self._forget()
         return np.split(ids, borders[:-1])
 
     def encode(self, texts):
+        if not self.by_words:
+            for text in texts:
+                yield np.array(self._tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+            return
         chunk, chars = [], 0
         for text in texts:
             text = text or ""
