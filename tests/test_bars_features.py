@@ -2,7 +2,7 @@ import math
 
 import pandas as pd
 import pytest
-from helpers import DAY0, MS, column, trades
+from helpers import DAY0, MS, column, rows, trades
 
 from tidegrid.operators import flow
 from tidegrid.operators.bars import base_bars, market_bars
@@ -85,6 +85,24 @@ def test_trailing_imbalance_and_direction(spark):
     assert direction[:2] == [1, 0] and direction[-1] is None
 
 
+def test_volatility_skips_bars_without_a_return(spark):
+    """A zero price has no log: the returns around it are missing, those of earlier bars in a window are not."""
+    prices = [100, 110, 0, 121, 121]
+    frame = trades(
+        spark, [(m, hours(h), 10 * h + i, p, 1, False) for h, p in enumerate(prices) for i, m in enumerate(("spot", "perpetual"))]
+    )
+    up = math.log(1.1)
+    want = {1: [None, up, None, None, 0.0], 2: [None, up, up, None, 0.0], 3: [None, up, up, up, 0.0]}
+    for out in (features.trade_flow_features(frame, GRID), features.realised_volatility(frame, GRID)):
+        spot = out.where("market_type = 'spot'")
+        for k in want:
+            got = column(spot, f"realised_volatility_{k * HOUR}ms", "decision_time_ns")[:5]
+            assert got == [None if v is None else pytest.approx(v, abs=1e-12) for v in want[k]]
+    lagged = features.feature_frame(frame, GRID)
+    got = dict(rows(lagged.select("feature_cutoff_ns", f"spot_realised_volatility_{2 * HOUR}ms")))
+    assert got[DAY0 + hours(3)] == pytest.approx(up)
+
+
 def test_trailing_sums_equal_rolling_sums(spark):
     values = [float((7 * i) % 11) for i in range(50)]
     frame = spark.createDataFrame(

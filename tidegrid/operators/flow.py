@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from tidegrid.operators.bars import ACTIVITY_COLUMNS, SUM_COLUMNS
-from tidegrid.params import MARKETS, GridParams
+from tidegrid.params import MARKETS, NS_PER_MS, GridParams
 
 LONGEST_CHAIN = 16
 
@@ -26,6 +26,10 @@ class DayOrder:
     def over(self) -> str:
         return f"OVER ({self._spec})"
 
+    @property
+    def running(self) -> str:
+        return f"OVER ({self._spec} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
     def last(self, rows: int) -> str:
         return f"OVER ({self._spec} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
@@ -72,6 +76,17 @@ def _kind(column: str) -> str:
     return "DOUBLE" if column.endswith((*SUM_COLUMNS, "_square")) else "BIGINT"
 
 
+def last_return(prefix: str, order: DayOrder) -> dict[str, str]:
+    """The time of the latest return of the day so far; a bar without a positive price has none, nor has the next."""
+    known = f"CASE WHEN {prefix}_return IS NOT NULL THEN decision_time_ns END"
+    return {f"{prefix}_returned": f"max({known}) {order.running}"}
+
+
+def returned(prefix: str, window_ms: int) -> str:
+    """Whether the window that ends at this bar holds a return."""
+    return f"decision_time_ns - {prefix}_returned < {window_ms * NS_PER_MS}"
+
+
 def market_measures(prefix: str, window_ms: int, k: int) -> dict[str, str]:
     """The measures of one market over one window, from its trailing sums."""
 
@@ -84,11 +99,7 @@ def market_measures(prefix: str, window_ms: int, k: int) -> dict[str, str]:
         return f"CASE WHEN {trades} = 0 THEN 0.0D WHEN {total(whole)} > 0 THEN {ratio} END"
 
     trades = total("trade_count")
-    # Returns exist from the second priced bar to the end of the day, so a window holds one
-    # exactly when its last row does.
-    volatility = (
-        f"CASE WHEN {prefix}_return IS NOT NULL THEN sqrt(greatest({total('_square')}, 0.0D)) END"
-    )
+    volatility = f"CASE WHEN {returned(prefix, window_ms)} THEN sqrt(greatest({total('_square')}, 0.0D)) END"
     quantity_imbalance = imbalance("signed_quantity", "quantity")
     measures = {
         "signed_quantity": total("signed_quantity"),
@@ -121,7 +132,7 @@ def add_trailing_columns(
     """Log price, base return, its square, k-step returns and all trailing sums.
 
     All prefixes are handled together, and further window columns can ride ``alongside`` the
-    returns: each step is one pass over the day. Prices are validated to be positive.
+    returns: each step is one pass over the day. A price that is not positive has no log, so its returns are NULL.
     """
     steps = [grid.bars(window) for window in grid.windows_ms]
     frame = with_sql(bars, {f"{p}_log_price": f"ln({p}last_price)" for p in prefixes})
@@ -132,9 +143,10 @@ def add_trailing_columns(
             before = f"lag({p}_log_price, {k}) {order.over}"
             returns[f"{p}_log_return__{k}"] = f"{p}_log_price - {before}"
     frame = with_sql(frame, returns)
-    frame = with_sql(
-        frame, {f"{p}_square": f"coalesce({p}_return * {p}_return, 0.0D)" for p in prefixes}
-    )
+    derived = {f"{p}_square": f"coalesce({p}_return * {p}_return, 0.0D)" for p in prefixes}
+    for p in prefixes:
+        derived.update(last_return(p, order))
+    frame = with_sql(frame, derived)
     columns = [p + name for p in prefixes for name in (*ACTIVITY_COLUMNS, "_square")]
     return trailing_sums(frame, columns, steps, order)
 

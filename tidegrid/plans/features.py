@@ -12,9 +12,11 @@ from tidegrid.operators.flow import (
     basis_windows,
     direction_labels,
     label_names,
+    last_return,
     predictor_columns,
     relative_columns,
     return_labels,
+    returned,
     trade_flow_columns,
     trailing_sums,
     with_sql,
@@ -40,17 +42,19 @@ def realised_volatility(trades: DataFrame, grid: GridParams) -> DataFrame:
     """Base return and realised volatility per window at every base bar."""
     frame = with_sql(base_bars(trades, grid.base_ns), {"_log_price": "ln(last_price)"})
     frame = with_sql(
-        frame, {"base_log_return": f"_log_price - lag(_log_price) {MARKET_DAY.over}"}
+        frame, {"_return": f"_log_price - lag(_log_price) {MARKET_DAY.over}"}
+    )
+    frame = with_sql(
+        frame, {"_square": "coalesce(_return * _return, 0.0D)", **last_return("", MARKET_DAY)}
     )
-    frame = with_sql(frame, {"_square": "coalesce(base_log_return * base_log_return, 0.0D)"})
     steps = {window: grid.bars(window) for window in grid.windows_ms}
     frame = trailing_sums(frame, ["_square"], list(steps.values()), MARKET_DAY)
     return frame.selectExpr(
         *BAR_KEYS,
         "decision_time_ns",
-        "base_log_return",
+        "_return AS base_log_return",
         *(
-            f"CASE WHEN base_log_return IS NOT NULL THEN sqrt(_square__{k}) END "
+            f"CASE WHEN {returned('', window)} THEN sqrt(_square__{k}) END "
             f"AS realised_volatility_{window}ms"
             for window, k in steps.items()
         ),
