@@ -93,6 +93,19 @@ def test_pack_and_ingest_are_inverse(spark):
     assert back.count() == raw.count()
 
 
+def test_days_are_cut_into_files_by_their_own_rows(spark):
+    """Ids far apart do not cut a day that fits one file; files of a crowded day are full but the last."""
+    raw = source.raw_text_from_events(source.read_events(spark, "/root/testdata/sf0.001"))
+    apart = raw.withColumn("aggregate_trade_id", (F.col("aggregate_trade_id").cast("long") * 5_000_000).cast("string"))
+    files = archives.pack_archives(apart)
+    names = {r[0] for r in files.select("path").collect()}
+    assert names == {f"{r[0]}-000000.zip" for r in apart.select("source_file").distinct().collect()}
+    day = "symbol = 'AAA' AND market_type = 'spot'"
+    packed = archives.pack_archives(raw.where(day).withColumn("date", F.lit(DATE0)), most_rows=100)
+    sizes = [r[1] for r in archives.ingest_archives(packed).groupBy("source_file").count().orderBy("source_file").collect()]
+    assert sum(sizes) == raw.where(day).count() and set(sizes[:-1]) == {100} and len(sizes) == -(-sum(sizes) // 100)
+
+
 def test_checksum_statuses(spark, tmp_path):
     def digest(text):
         return hashlib.sha256(text.encode()).hexdigest()

@@ -9,6 +9,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,14 +124,30 @@ def read_csv_files(spark: SparkSession, path: str, market: str) -> DataFrame:
     return one_unit(raw)
 
 
-def pack_archives(raw: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:
-    """The inverse of ingestion: (path, content) archives of at most ``rows_per_file`` rows.
+def _by_place(raw: DataFrame, most_rows: int) -> DataFrame:
+    """Rows with ``_part``: the place of a trade in its (symbol, market, day), by id, in files of ``most_rows``."""
+    day = ["symbol", "market_type", "date"]
+    block = F.floor(F.col("aggregate_trade_id").cast("long") / most_rows)
+    blocks = raw.groupBy(*day, block.alias("_block")).agg(F.count("*").alias("_rows"))
+    earlier = W.partitionBy(*day).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = blocks.select(*day, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    # a block of ids has no more rows than a file, however many its day has
+    place = F.row_number().over(W.partitionBy(*day, "_block").orderBy(F.col("aggregate_trade_id").cast("long")))
+    placed = raw.withColumn("_block", block).withColumn("_place", place).join(before, [*day, "_block"])
+    return placed.select(*raw.columns, F.floor((F.col("_before") + F.col("_place") - 1) / most_rows).alias("_part"))
 
-    The part of a file comes from the trade id, so a crowded (symbol, market, day) becomes
-    several files, each built by its own task.
+
+def pack_archives(raw: DataFrame, rows_per_file: int | None = None, most_rows: int = 1_000_000) -> DataFrame:
+    """The inverse of ingestion: (path, content) archives of at most ``most_rows`` rows.
+
+    A day of a symbol and market that fits one file is one, whatever its trade ids; a crowded one becomes several
+    files, each built by its own task. With ``rows_per_file`` a file instead covers so many consecutive ids.
     """
-    part = F.floor(F.col("aggregate_trade_id").cast("long") / rows_per_file)
-    name = F.concat_ws("-", "symbol", "market_type", "date", F.lpad(part.cast("string"), 6, "0"))
+    if rows_per_file:
+        placed = raw.withColumn("_part", F.floor(F.col("aggregate_trade_id").cast("long") / rows_per_file))
+    else:
+        placed = _by_place(raw, most_rows)
+    name = F.concat_ws("-", "symbol", "market_type", "date", F.lpad(F.col("_part").cast("string"), 6, "0"))
 
     def zipped(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         market = rows["market_type"].iloc[0]
@@ -147,7 +164,7 @@ def pack_archives(raw: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:
             archive.writestr(stamp, text, zipfile.ZIP_DEFLATED)
         return pd.DataFrame({"path": [f"{key[0]}.zip"], "content": [buffer.getvalue()]})
 
-    return raw.groupBy(name.alias("_name")).applyInPandas(zipped, "path string, content binary")
+    return placed.groupBy(name.alias("_name")).applyInPandas(zipped, "path string, content binary")
 
 
 def sidecars_for(files: DataFrame) -> DataFrame:
