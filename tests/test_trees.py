@@ -191,3 +191,19 @@ def test_constant_and_empty_features(spark):
     training = trees.binned(spark_table(spark, still), NAMES, "y", "symbol", ("symbol", "decision_time_ns"))
     (model,) = trees.grown(training, [("AAA", GRID[0])])
     assert np.allclose(model.predict(still[list(NAMES)].to_numpy(float)), 2.0)
+
+
+def test_histograms_stay_with_the_tasks(spark, monkeypatch):
+    """What reaches the driver is the best splits of each feature, not its bins."""
+    frame, sizes = type(spark.range(1)), []
+    collect = frame.toArrow
+
+    def weighed(self):
+        found = collect(self)
+        sizes.append(found.nbytes)
+        return found
+
+    training = trees.binned(spark_table(spark, table()), NAMES, "y", "symbol", ("symbol", "decision_time_ns"))
+    monkeypatch.setattr(frame, "toArrow", weighed)
+    trees.grown(training, [("AAA", GRID[1])])
+    assert len(sizes) >= 6 and max(sizes) < 4 * len(NAMES) * 256

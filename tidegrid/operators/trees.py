@@ -2,9 +2,9 @@
 
 Features are binned once at the training quantiles of their group; a row then is a string of one-byte codes, one of which
 means missing. All fits (groups, depths) grow together: one pass over the rows for each level of a tree adds
-gradients and counts per node, feature and bin in the tasks, the sums per (fit, node, feature) meet in a shuffle,
-and only summed histograms reach the driver: fits x nodes x features x bins numbers, whatever the number of rows. Of two
-siblings only the smaller is summed, the other is its parent less that one.
+gradients and counts per node, feature and bin in the tasks, the sums per (fit, node, feature) meet in a shuffle, where
+the best split of each feature is found. Only those reach the driver: fits x nodes x features rows of a hundred bytes,
+whatever the number of rows and bins.
 
 A split maximises the gain of the squared loss with an L2 penalty on leaf values; rows without a value take the side
 with the larger gain. Gradients are rounded to integers of a common scale, so their sums are exact
@@ -132,28 +132,51 @@ def sampled(rows: np.ndarray, params: TreeParams, number: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) < params.row_share * 2.0**53
 
 
-def best_split(gradients: np.ndarray, counts: np.ndarray, columns: np.ndarray, params: TreeParams, scale: float):
-    """(feature, bin, missing_left, left sums, right sums) of the best split of a node, or None.
-
-    ``gradients`` and ``counts`` are (features, 256) sums; of equal gains the first feature and bin win, and
-    missing values go left.
-    """
-    g, n = gradients[columns] / scale, counts[columns]
-    whole_g, whole_n = g[0].sum(), n[0].sum()
-    left_g, left_n = np.cumsum(g[:, :MISSING], axis=1)[:, :-1], np.cumsum(n[:, :MISSING], axis=1)[:, :-1]
-    best = None
+@dataclass(frozen=True)
+class Candidate:
+    """The best split of one feature at a node for one side of its missing values; sums are in units of the target."""
+
+    rank: float
+    gain: float
+    feature: int
+    bin: int
+    missing_left: bool
+    left: tuple[float, float]
+    right: tuple[float, float]
+
+
+def feature_splits(feature: int, gradients: np.ndarray, counts: np.ndarray, params: TreeParams, scale: float) -> list[Candidate]:
+    """Candidates of a feature from the 256 sums of its bins: missing values to the left, then to the right."""
+    g, n = gradients / scale, counts
+    whole_g, whole_n = g.sum(), n.sum()
+    left_g, left_n = np.cumsum(g[:MISSING])[:-1], np.cumsum(n[:MISSING])[:-1]
+    found = []
     for missing_left in (True, False):
-        lg = left_g + (g[:, MISSING:] if missing_left else 0)
-        ln = left_n + (n[:, MISSING:] if missing_left else 0)
+        lg = left_g + (g[MISSING] if missing_left else 0)
+        ln = left_n + (n[MISSING] if missing_left else 0)
         rg, rn = whole_g - lg, whole_n - ln
         gain = 0.5 * (lg**2 / (ln + params.penalty) + rg**2 / (rn + params.penalty) - whole_g**2 / (whole_n + params.penalty))
         gain[(ln < max(params.minimum_rows, 1)) | (rn < max(params.minimum_rows, 1))] = -np.inf
+        if not np.isfinite(gain).any():
+            continue
         # the last digits of a gain depend on the order of its terms; they do not decide
-        rounded = np.round(gain / max(whole_g**2, 1e-300), 12) if np.isfinite(gain).any() else gain
-        at = np.unravel_index(np.argmax(rounded), gain.shape)
-        if gain[at] > params.minimum_gain and (best is None or rounded[at] > best[0]):
-            best = (rounded[at], int(columns[at[0]]), int(at[1]), missing_left, (lg[at], ln[at]), (rg[at], rn[at]))
-    return None if best is None else best[1:]
+        rounded = np.round(gain / max(whole_g**2, 1e-300), 12)
+        at = int(np.argmax(rounded))
+        sides = (float(lg[at]), float(ln[at])), (float(rg[at]), float(rn[at]))
+        found.append(Candidate(float(rounded[at]), float(gain[at]), feature, at, missing_left, *sides))
+    return found
+
+
+def best_split(candidates: Sequence[Candidate], params: TreeParams) -> Candidate | None:
+    """The best candidate of a node; of equal gains the first feature and bin win, and missing values go left."""
+    best = None
+    for missing_left in (True, False):
+        side = [c for c in candidates if c.missing_left == missing_left]
+        # max keeps the first of equals
+        top = max(sorted(side, key=lambda c: c.feature), key=lambda c: c.rank, default=None)
+        if top is not None and top.gain > params.minimum_gain and (best is None or top.rank > best.rank):
+            best = top
+    return best
 
 
 @dataclass(frozen=True)
@@ -211,7 +234,6 @@ class _Fit:
     params: TreeParams
     model: Model
     tree: Tree | None = None
-    sums: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     totals: dict[int, tuple[float, float]] = field(default_factory=dict)
 
 
@@ -234,32 +256,44 @@ def _margins(batch: pa.RecordBatch, models: Mapping[str, Sequence[Model]], since
         yield g, own, mine, hashes[own], y[own], now
 
 
-def _pass(rows: DataFrame, fits: Sequence[_Fit], models, number: int, since: int, nodes, width: int, tasks: int):
-    """{(fit, node): (gradients, counts)} of the named nodes of each fit's growing tree, in one job."""
+SUMS = "fit int, node int, feature int, sums binary"
+SPLITS = (
+    "fit int, node int, feature int, whole_g double, whole_n double, rank double, gain double, bin int, "
+    "missing_left boolean, left_g double, left_n double, right_g double, right_n double"
+)
+
+
+def _pass(rows: DataFrame, fits: Sequence[_Fit], models, number: int, since: int, nodes, columns, width: int, tasks: int):
+    """{(fit, node): (totals, candidates)} of the named nodes of each fit's growing tree, in one job.
+
+    The histograms of a feature meet in a task, which finds its best splits; only those reach the driver.
+    """
     work = {
         g: [(i, f.place, f.params, f.tree, f.model.scale, nodes[i]) for i, f in enumerate(fits) if f.group == g and nodes.get(i)]
         for g in models
     }
+    settings = [(f.params, f.model.scale) for f in fits]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[int, int], np.ndarray] = {}
-        offsets = np.arange(width) * 256
         for batch in batches:
             for g, _, codes, hashes, y, margins in _margins(batch, models, since):
                 for i, place, params, tree, scale, wanted in work[g]:
                     at = tree.leaves(codes)
                     gradient = np.round((margins[:, place] - y) * scale)
                     inside = sampled(hashes, params, number)
+                    size = len(columns[i])
+                    offsets = np.arange(size) * 256
                     for node in wanted:
-                        here = inside & (at == node)
-                        index = (codes[here] + offsets).ravel()
-                        held = totals.setdefault((i, node), np.zeros((2, width * 256)))
-                        held[0] += np.bincount(index, np.repeat(gradient[here], width), width * 256)
-                        held[1] += np.bincount(index, minlength=width * 256)
-        keys = [(i, node, f) for i, node in totals for f in range(width)]
-        sums = [totals[i, node].reshape(2, width, 256)[:, f].tobytes() for i, node, f in keys]
-        columns = [np.array([k[j] for k in keys], np.int32) for j in range(3)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sums, pa.binary())], ["fit", "node", "feature", "sums"])
+                        here = np.flatnonzero(inside & (at == node))
+                        index = (codes[np.ix_(here, columns[i])] + offsets).ravel()
+                        held = totals.setdefault((i, node), np.zeros((2, size * 256)))
+                        held[0] += np.bincount(index, np.repeat(gradient[here], size), size * 256)
+                        held[1] += np.bincount(index, minlength=size * 256)
+        keys = [(i, node, f, at) for i, node in totals for at, f in enumerate(columns[i])]
+        sums = [totals[i, node].reshape(2, -1, 256)[:, at].tobytes() for i, node, _, at in keys]
+        out = [np.array([k[j] for k in keys], np.int32) for j in range(3)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(sums, pa.binary())], ["fit", "node", "feature", "sums"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[int, int, int], np.ndarray] = {}
@@ -267,19 +301,30 @@ def _pass(rows: DataFrame, fits: Sequence[_Fit], models, number: int, since: int
             for *key, sums in zip(*(batch.column(c).to_pylist() for c in ("fit", "node", "feature", "sums"))):
                 held = totals.setdefault(tuple(key), np.zeros(512))
                 held += np.frombuffer(sums, float)
-        columns = [np.array([k[j] for k in totals], np.int32) for j in range(3)]
-        sums = pa.array([t.tobytes() for t in totals.values()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), sums], ["fit", "node", "feature", "sums"])
-
-    schema = "fit int, node int, feature int, sums binary"
-    summed = rows.mapInArrow(add, schema)
-    if tasks > 1:  # the sums of a single task are whole
-        summed = summed.repartition(min(tasks, 64), "fit", "node", "feature").mapInArrow(meet, schema)
-    collected = summed.toArrow().to_pydict()
-    found: dict[tuple[int, int], np.ndarray] = {}
-    for i, node, feature, sums in zip(*(collected[c] for c in ("fit", "node", "feature", "sums"))):
-        whole = found.setdefault((i, node), np.zeros((2, width, 256)))
-        whole[:, feature] = np.frombuffer(sums, float).reshape(2, 256)
+        out = []
+        for (i, node, feature), held in totals.items():
+            params, scale = settings[i]
+            g, n = held.reshape(2, 256)
+            head = (i, node, feature, g.sum() / scale, n.sum())
+            found = feature_splits(feature, g, n, params, scale)
+            out += [(*head, c.rank, c.gain, c.bin, c.missing_left, *c.left, *c.right) for c in found] or [(*head, *[None] * 8)]
+        integer, number_, flag = pa.int32(), pa.float64(), pa.bool_()
+        types = [integer] * 3 + [number_] * 4 + [integer, flag] + [number_] * 4
+        names = [part.split()[0] for part in SPLITS.split(", ")]
+        lines = list(zip(*out)) if out else [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(lines, types)], names)
+
+    if tasks > 1:
+        summed = rows.mapInArrow(add, SUMS)
+        splits = summed.repartition(min(tasks, 64), "fit", "node", "feature").mapInArrow(meet, SPLITS)
+    else:  # the sums of a single task are whole
+        splits = rows.mapInArrow(lambda batches: meet(add(batches)), SPLITS)
+    found: dict[tuple[int, int], tuple[tuple[float, float], list[Candidate]]] = {}
+    for r in splits.toArrow().to_pylist():
+        _, candidates = found.setdefault((r["fit"], r["node"]), ((r["whole_g"], r["whole_n"]), []))
+        if r["bin"] is not None:
+            sides = (r["left_g"], r["left_n"]), (r["right_g"], r["right_n"])
+            candidates.append(Candidate(r["rank"], r["gain"], r["feature"], r["bin"], r["missing_left"], *sides))
     return found
 
 
@@ -330,37 +375,22 @@ def _grow(rows: DataFrame, fits: Sequence[_Fit], models: Mapping[str, Sequence[M
         growing = [f for f in fits if number < f.params.n_estimators]
         columns = [chosen_columns(f.params, number, width) for f in growing]
         for f in growing:
-            f.tree, f.sums, f.totals = Tree.empty(f.params.max_depth), {}, {}
-        # fits number -> nodes whose histograms are summed, and the sibling that follows from each
+            f.tree, f.totals = Tree.empty(f.params.max_depth), {}
+        # fits number -> nodes of one level that may be split
         todo = {i: [0] for i in range(len(growing))}
-        sibling: dict[tuple[int, int], int] = {}
         while todo:
-            for (i, node), (gradients, counts) in _pass(rows, growing, models, number, since, todo, width, tasks).items():
+            found = _pass(rows, growing, models, number, since, todo, columns, width, tasks)
+            todo = {}
+            for (i, node), (whole, candidates) in sorted(found.items(), key=lambda item: item[0]):
                 f = growing[i]
-                f.sums[node] = (gradients, counts)
-                if (i, node) in sibling:
-                    parent = f.sums[(node - 1) // 2]
-                    f.sums[sibling[i, node]] = (parent[0] - gradients, parent[1] - counts)
-            todo, following = {}, {}
-            for i, f in enumerate(growing):
-                deepest = max(f.sums, default=0)
-                level = [n for n in f.sums if (n + 1).bit_length() == (deepest + 1).bit_length()]
-                if not f.totals and 0 in f.sums:
-                    f.totals[0] = (f.sums[0][0][0].sum() / f.model.scale, f.sums[0][1][0].sum())
-                for node in sorted(level):
-                    depth = (node + 1).bit_length() - 1
-                    if depth >= f.params.max_depth or f.tree.feature[node] >= 0:
-                        continue
-                    split = best_split(*f.sums[node], columns[i], f.params, f.model.scale)
-                    if split is None:
-                        continue
-                    f.tree.feature[node], f.tree.bin[node], f.tree.missing_left[node], left, right = split
-                    f.totals[2 * node + 1], f.totals[2 * node + 2] = left, right
-                    if depth + 1 < f.params.max_depth:
-                        small, large = (1, 2) if left[1] <= right[1] else (2, 1)
-                        todo.setdefault(i, []).append(2 * node + small)
-                        following[i, 2 * node + small] = 2 * node + large
-            sibling = following
+                f.totals.setdefault(node, whole)
+                split = best_split(candidates, f.params)
+                if split is None:
+                    continue
+                f.tree.feature[node], f.tree.bin[node], f.tree.missing_left[node] = split.feature, split.bin, split.missing_left
+                f.totals[2 * node + 1], f.totals[2 * node + 2] = split.left, split.right
+                if (node + 1).bit_length() < f.params.max_depth:
+                    todo.setdefault(i, []).extend((2 * node + 1, 2 * node + 2))
         for f in growing:
             for node, (g, n) in f.totals.items():
                 if f.tree.feature[node] < 0:
