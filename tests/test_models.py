@@ -7,7 +7,7 @@ from helpers import DAY0, SECOND
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidegrid.operators import trees
+from tidegrid.operators import linear, trees
 from tidegrid.params import DAY_NS, ExecutionParams
 from tidegrid.plans import backtest, models
 
@@ -101,3 +101,17 @@ def test_a_carried_threshold_decides_the_signals(spark):
     names = ["decision_time_ns", "direction", "entry_time_ns", "exit_time_ns", "gross_pnl", "sizing"]
     order = lambda run: sorted(map(tuple, run.trades.select(*names).collect()))
     assert order(plain) == order(carried) and plain.signals.count() > 0
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1.0])
+def test_rounding_of_a_constant_is_no_feature(alpha):
+    """A third that differs in its last digit from row to row gets no weight and moves no other one."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=400)
+    third = np.where(draw.random(400) < 0.5, 1 / 3, np.nextafter(1 / 3, 1))
+    y = 2 * x + draw.normal(size=400)
+    design = np.column_stack([np.ones(400), x, third, np.zeros((400, 2)), y])
+    sums, names = design.T @ design, ["x", "third"]
+    both = linear.solve(sums, names, names, {"x": 0.0, "third": 1 / 3}, alpha)
+    alone = linear.solve(sums, names, ["x"], {"x": 0.0}, alpha)
+    assert both.weights[1] == 0.0 and both.weights[0] == pytest.approx(alone.weights[0], rel=1e-12)

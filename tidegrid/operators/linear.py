@@ -19,6 +19,10 @@ from tidegrid.functions.ordering import exact_medians
 from tidegrid.operators.splits import date_to_ns
 
 
+#: A deviation below this share of the mean is what rounding leaves of a constant in sums of squares.
+RESOLUTION = 1e-7
+
+
 @dataclass(frozen=True)
 class LinearFit:
     """Coefficients on raw features after median imputation, and the training mean."""
@@ -258,8 +262,7 @@ def scaling(sums: DataFrame, medians: DataFrame, keys: Sequence[str], features:
                 n = max(gram[0, 0], 1.0)
                 mean = gram[0, 1:] / n
                 spread = np.sqrt(np.maximum(np.diag(gram)[1:] / n - mean**2, 0.0))
-                # what is left of a constant after rounding is no deviation
-                spread[spread < 1e-9 * np.abs(mean)] = 0.0
+                spread[spread < RESOLUTION * np.abs(mean)] = 0.0
                 rows.append((*key, int(round(gram[0, 0])), have, [filling[h] for h in have], mean.tolist(), spread.tolist()))
             yield pd.DataFrame(rows, columns=[*keys, "train_rows", "names", "median", "mean", "deviation"])
 
@@ -294,9 +297,11 @@ def solve(
     mean, y_mean = gram[0, 1:] / rows, xy[0] / rows
     centred = gram[1:, 1:] - rows * np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(centred) / rows, 0.0))
-    scale[scale == 0] = 1.0
+    flat = scale <= RESOLUTION * np.abs(mean)
+    scale[flat] = 1.0
+    centred[flat, :] = centred[:, flat] = 0.0
     left = centred / np.outer(scale, scale) + ridge_alpha * np.eye(len(chosen))
-    right = (xy[1:] - rows * mean * y_mean) / scale
+    right = np.where(flat, 0.0, (xy[1:] - rows * mean * y_mean) / scale)
     weights = np.linalg.lstsq(left, right, rcond=None)[0] / scale
     return LinearFit(
         tuple(medians[c] for c in chosen), float(y_mean - mean @ weights), tuple(weights), float(y_mean), int(round(rows))
