@@ -133,3 +133,13 @@ def test_components_of_chains_and_stars(spark):
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{n: 0 for n in range(41)}, **{n: 100 for n in range(100, 140)}, 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_leaves_that_a_query_visits_do_not_grow_with_the_vectors():
+    points = np.random.default_rng(2).normal(size=(4_000, 8))
+    visited = []
+    for total in (20_000, 100_000):
+        trees = forest.build(points, total, 3, 512)
+        sizes = np.full((3, 1 << trees[0].depth), total >> trees[0].depth)
+        visited.append(len(forest.search(trees, sizes, points[0], 1.8 * total)))
+    assert visited[1] <= 1.1 * visited[0]

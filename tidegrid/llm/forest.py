@@ -5,8 +5,9 @@ of them. Every distinct vector is then put into one leaf of each tree. A query s
 one priority queue (the least violated margin first) until the leaves popped hold ``search_share`` times the
 vectors (one in several trees counts again); leaves meet their queries in one group, where exact cosines rerank the candidates.
 
-Equal vectors are one entry with its smallest ids, as many as a result can need. A leaf is split into
-chunks of bounded size. Each (leaf, query) returns at most ``k`` rows.
+Equal vectors are one entry with its smallest ids, as many as a result can need. Trees have a bounded
+number of leaves, so that a query visits as many of a large table; a leaf is split into chunks of bounded size. Each
+(chunk, query) returns at most ``k`` rows.
 
 Vectors that are null or zero or hold null or non-finite components, and rows without an id, take no part.
 Vectors of another dimension than the commonest are compared by dimension, exactly. Rows of one id count
@@ -31,6 +32,7 @@ TREES = 10
 SAMPLE_ROWS = 20_000
 LEAF = 512
 SEARCH_SHARE = 1.8
+DEEPEST = 5  # of a tree: 32 leaves
 CHUNK = 8192
 
 
@@ -69,9 +71,12 @@ class Tree:
 
 
 def build(points: np.ndarray, total: int, trees: int, leaf: int, seed: int = 11) -> list[Tree]:
-    """Deep enough for leaves of about ``leaf`` vectors, with eight sample points in each at least."""
+    """Deep enough for leaves of about ``leaf`` vectors, with eight sample points in each at least.
+
+    A query visits a share of the leaves, so their number is bounded: more vectors make leaves larger, not more.
+    """
     depth = 0
-    while total / (1 << depth) > leaf and len(points) / (2 << depth) >= 8:
+    while depth < DEEPEST and total / (1 << depth) > leaf and len(points) / (2 << depth) >= 8:
         depth += 1
     rng = np.random.default_rng(seed)
     return [Tree(points, depth, rng) for _ in range(trees)] if len(points) else []
