@@ -105,7 +105,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         for batch in lean(batches, "tokens"):
             texts = batch.column("text").to_pylist()
-            ids = [np.append(each, end_id).astype(np.uint32) for each in encoder(tokenizer).encode(texts)]
+            end = np.array([end_id], np.uint32)
+            ids = [np.concatenate((each, end), dtype=np.uint32) for each in encoder(tokenizer).encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
