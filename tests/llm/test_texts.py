@@ -103,6 +103,36 @@ def test_word_cache_gives_the_librarys_ids(spark, tokenizer):
         assert encoder._tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist()
 
 
+def test_runs_of_many_words_are_learned_once(tokenizer, monkeypatch):
+    encoder, learned, spelled = WordEncoder(tokenizer, cached_words=300), [], WordEncoder._spelled
+    monkeypatch.setattr(WordEncoder, "_spelled", lambda self, runs: learned.extend(runs) or spelled(self, runs))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(first + second + mark for second in letters for mark in "!?;") for first in letters[:3]] * 2
+    for text in [*texts, *(text.upper() for text in texts)]:  # 468 words of 81 runs
+        assert next(encoder.encode([text])).tolist() == encoder._tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(learned) < 300 and all(count == 1 for run, count in Counter(learned).items() if run.strip())
+
+
+def test_words_of_odd_bytes_keep_their_case_and_borders(tokenizer):
+    encoder = WordEncoder(tokenizer)
+    texts = ["", "\n", None, "a", " \n", "É", "Ã×ÃÀ÷B ÞßŸÿ", "×", "<|ENDOFTEXT|> <|endoftext|>X,Y", "!'S A!'s", "e\u0301A É!E\u0301", "ΑΣ, AΣ\nΣ", "1A", "A1"]
+    alphabet = list("abZÉÀß×÷ \n\t'<>|.,_19ΣİK한😀½\u0301")
+    rng = np.random.default_rng(6)
+    texts += ["".join(rng.choice(alphabet, size)) for size in rng.integers(0, 40, 500)]
+    for part in (texts, texts[:5], [""], [None, ""], ["A"]):
+        for text, ids in zip(part, encoder.encode(part), strict=True):
+            assert encoder._tokenizer.encode(text or "", add_special_tokens=False).ids == ids.tolist()
+
+
+def test_ids_are_counted_over_documents():
+    rng = np.random.default_rng(8)
+    documents = [rng.integers(0, top, size).astype(kind) for top, size, kind in ((9, 5, "<u2"), (70000, 40, "<u4"), (300, 0, "<u2"), (300, 90, "<u2"))]
+    want = np.bincount(np.concatenate(documents))
+    for at_once in (1, 50, 1000):
+        assert coding.id_counts(documents, at_once).tolist() == want.tolist()
+    assert len(coding.id_counts([])) == 0
+
+
 def test_numbers_of_all_lengths_return():
     numbers = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for count in range(len(numbers) + 1):

@@ -20,6 +20,8 @@ text.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from tidegrid.session import scratch_path
 #: Fixed value.
 MAGIC = b"TGV1"
 FILE_IDS = 4_000_000
+#: Ids of so many documents are counted in one call.
+COUNTED_IDS = 1_000_000
 #: Bytes of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -131,6 +135,22 @@ def _widened(content: bytes) -> np.ndarray:
     return np.frombuffer(content, "<u4" if content[0] == 4 else "<u2", offset=1)
 
 
+def id_counts(documents: Iterable[np.ndarray], at_once: int = COUNTED_IDS) -> np.ndarray:
+    """How often each id occurs, counted in one array for many documents."""
+    counts, held, size = np.zeros(0, np.int64), [], 0
+    for ids in chain(documents, [None]):
+        if ids is not None:
+            held.append(ids)
+            size += len(ids)
+        if held and (ids is None or size >= at_once):
+            more = np.bincount(np.concatenate(held))
+            if len(more) > len(counts):
+                counts, more = more, counts
+            counts[: len(more)] += more
+            held, size = [], 0
+    return counts
+
+
 def ranked_ids(ids: DataFrame) -> np.ndarray:
     """The ids of the corpus, most frequent first, equal counts by id.
 
@@ -138,13 +158,7 @@ def ranked_ids(ids: DataFrame) -> np.ndarray:
     """
 
     def count(batches):
-        counts = np.zeros(0, np.int64)
-        for batch in batches:
-            for content in batch.column("ids"):
-                more = np.bincount(_widened(content.as_py()))
-                if len(more) > len(counts):
-                    counts, more = more, counts
-                counts[: len(more)] += more
+        counts = id_counts(_widened(content.as_py()) for batch in batches for content in batch.column("ids"))
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["id", "n"])
 

@@ -1,11 +1,12 @@
-"""Encoding of whole texts by a public tokenizer, with a cache of encoded words.
+"""Encoding of whole texts by a public tokenizer, with a cache of encoded runs.
 
 ``word_bpe_49k`` drops white space and never joins characters across it, so a text's ids are the ids
-of its pieces between spaces and line ends, one after the other. Most pieces of a corpus are
-frequent words: each is encoded once by the tokenizers library and then looked up. A word of Latin
-letters and plain punctuation needs no normalizer but lower case and splits into runs of letters
-and runs of others. The new runs of a chunk of texts are spelled together and go to the library's model in
-one call, whose ids are cut after each id that ends a run; every other word takes the library's whole chain.
+of its pieces between spaces and line ends, one after the other. A word of Latin letters and plain punctuation
+needs no normalizer but lower case and splits into runs of letters and runs of others. A chunk of texts
+is cut into runs by the kinds of its UTF-8 bytes and its runs are numbered by Arrow, so that Python
+sees each distinct run of a chunk once. New runs go to the library's model in
+one call, whose ids are cut after each id that ends a run; every other word is a run of its own that takes the
+library's whole chain.
 
 All of this rests on the normalizer, splitter and special tokens of that file. A tokenizer with others encodes
 whole texts by the library alone.
@@ -13,23 +14,28 @@ whole texts by the library alone.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from tidegrid.llm.common import WORKER_CACHES
 
-CACHED_WORDS = 350_000
-CHUNK_CHARS = 2_000_000
+CACHED_RUNS = 500_000
+CHUNK_CHARS = 4_000_000
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_OTHERS = r"!-&(-/:-;=-@\[-`{-~"  # plain punctuation without ' (contractions) and < (special tokens)
-_PLAIN = re.compile(rf"[{_LETTERS}{_OTHERS}]+")
-_RUNS = re.compile(rf"[{_LETTERS}]+|[{_OTHERS}]+")
-_COMMON = re.compile(rf"([{_LETTERS}]*)[{_OTHERS}]*")  # a run of letters, then one of others
+#: Kinds of bytes: spaces and line ends, Latin letters, plain punctuation, and bytes whose words are not plain.
+SPACE, LETTER, OTHER, ODD = range(4)
+_PUNCTUATION = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # without ' (contractions) and < (special tokens)
+_KINDS = np.full(256, ODD, np.uint8)
+_KINDS[[10, 32]] = SPACE
+_KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+_KINDS[list(_PUNCTUATION)] = OTHER
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 #: The normalizers and splitters, and the pattern between words, with which words can be encoded one by one.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -39,30 +45,36 @@ RUN_END = "</w>"
 MODEL_CALL = 1000
 
 
-def _byte_characters() -> dict[int, str]:
+def _byte_characters() -> str:
     """The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + n) for n, b in enumerate(rest)}
+    return "".join(chr(b if b in printable else 256 + rest.index(b)) for b in range(256))
 
 
 _BYTES = _byte_characters()
 
 
 class _Index(dict):
-    """Word to number; unknown words get the next number and wait to be encoded."""
+    """Run to number; unknown runs get the next number and wait to be encoded."""
 
     def __init__(self):
         super().__init__()
-        self.waiting: list[str] = []
+        self.waiting: list[bytes] = []
 
-    def __missing__(self, word):
+    def __missing__(self, run):
         number = len(self)
-        self[word] = number
-        self.waiting.append(word)
+        self[run] = number
+        self.waiting.append(run)
         return number
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class _Ids:
     """Lists of ids by number, one after the other in one array."""
 
@@ -78,9 +90,30 @@ class _Ids:
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of these lists."""
         lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[at], lengths
+        return self.flat[_ranges(self.starts[numbers], lengths)], lengths
+
+
+def _runs(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, borders, kinds) of the runs of UTF-8 bytes, plain ones in lower case.
+
+    A word with an odd byte is one run; so are spaces and line ends between words.
+    """
+    data = np.frombuffer(content, np.uint8)
+    kinds = _KINDS[data]
+    latin = np.flatnonzero(data == 0xC3)  # À to ÿ, without the signs × and ÷
+    latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
+    kinds[latin] = kinds[latin + 1] = LETTER
+    low = _LOWER[data]
+    low[latin + 1] += np.where(data[latin + 1] <= 0x9E, 32, 0).astype(np.uint8)  # À to Þ
+    odd = kinds == ODD
+    if odd.any():
+        starts = np.append(0, np.flatnonzero(kinds == SPACE))  # of words with the space before them
+        words = np.logical_or.reduceat(odd, starts)
+        odd = np.repeat(words, np.diff(starts, append=len(data))) & (kinds != SPACE)
+        kinds[odd] = ODD
+        np.copyto(low, data, where=odd)
+    borders = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, [len(data)]])
+    return low, borders, kinds[borders[:-1]]
 
 
 def _by_words(tokenizer) -> bool:
@@ -108,7 +141,7 @@ def _by_words(tokenizer) -> bool:
 class WordEncoder:
     """``encode(texts)`` yields one array of uint32 ids per text (null: empty), in order."""
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str, cached_words: int = CACHED_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,15 +156,13 @@ class WordEncoder:
         self._forget()
 
     def _forget(self):
-        self._index = _Index()  # words
-        self._runs = _Index()  # runs of plain words, and (word,) for each word that is not plain
-        self._word_ids, self._run_ids = _Ids(), _Ids()
+        self._index, self._ids = _Index(), _Ids()
 
-    def _spelled(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, lengths) of runs."""
+    def _spelled(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of plain runs."""
         if not runs:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        spelled = "\n".join(runs).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])
+        spelled = codecs.charmap_decode(b"\n".join(runs), "strict", _BYTES)[0].split(_BYTES[10])
         calls = [spelled[at : at + MODEL_CALL] for at in range(0, len(spelled), MODEL_CALL)]
         made = self._model.encode_batch_fast(calls, is_pretokenized=True, add_special_tokens=False)
         ids = np.fromiter(chain.from_iterable(each.ids for each in made), np.uint32)
@@ -140,57 +171,41 @@ class WordEncoder:
             raise ValueError("the vocabulary does not spell every run")
         return ids, lengths
 
-    def _learn_runs(self):
-        runs, self._runs.waiting = self._runs.waiting, []
-        whole = np.fromiter((type(run) is tuple for run in runs), bool, len(runs))
-        ids, lengths = self._spelled([run for run in runs if type(run) is not tuple])
-        if whole.any():
-            others = [self._tokenizer.encode(run[0], add_special_tokens=False).ids for run in runs if type(run) is tuple]
+    def _learn(self, kinds: np.ndarray):
+        """Encode the waiting runs, of these kinds."""
+        runs, self._index.waiting = self._index.waiting, []
+        plain = (kinds == LETTER) | (kinds == OTHER)
+        ids, lengths = self._spelled([run for run, each in zip(runs, plain.tolist()) if each])
+        if not plain.all():
+            odd = (run.decode() if kind == ODD else "" for run, kind in zip(runs, kinds.tolist()) if kind in (SPACE, ODD))
+            others = [self._tokenizer.encode(word, add_special_tokens=False).ids if word else [] for word in odd]
             counts = np.zeros(len(runs), np.int64)
-            counts[~whole], counts[whole] = lengths, list(map(len, others))
-            rare, both = np.repeat(whole, counts), np.zeros(counts.sum(), np.uint32)
+            counts[plain], counts[~plain] = lengths, list(map(len, others))
+            rare, both = np.repeat(~plain, counts), np.zeros(counts.sum(), np.uint32)
             both[~rare], both[rare] = ids, list(chain.from_iterable(others))
             ids, lengths = both, counts
-        self._run_ids.add(ids, lengths)
-
-    def _learn(self):
-        words, self._index.waiting = self._index.waiting, []
-        if not words:
-            return
-        run_of, numbers, counts = self._runs.__getitem__, [], []
-        for word, low in zip(words, "\n".join(words).lower().split("\n")):
-            common = _COMMON.fullmatch(word)  # lower case keeps the lengths of plain words
-            if common:
-                cut = common.end(1)
-                runs = (low,) if cut == len(low) or not cut else (low[:cut], low[cut:])
-                if not low:
-                    runs = ()
-            elif _PLAIN.fullmatch(word):
-                runs = _RUNS.findall(low)
-            else:
-                runs = ((word,),)
-            numbers.extend(map(run_of, runs))
-            counts.append(len(runs))
-        self._learn_runs()
-        ids, lengths = self._run_ids.of(np.array(numbers, np.int64))
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        self._word_ids.add(ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
+        self._ids.add(ids, lengths)
 
     def _chunk(self, texts):
-        look_up = self._index.__getitem__
-        numbers, counts = [], []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            numbers.append(np.fromiter(map(look_up, words), np.int64, len(words)))
-            counts.append(len(words))
-        self._learn()
-        word = np.concatenate(numbers)
-        ids, lengths = self._word_ids.of(word)
-        ends = np.cumsum(lengths)
-        borders = ends[np.cumsum(counts) - 1]
+        contents = [text.encode() for text in texts]
+        content = b"\n".join(contents)
+        if not content:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        low, borders, kinds = _runs(content)
+        buffers = [None, pa.py_buffer(borders), pa.py_buffer(low)]
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(kinds), buffers).dictionary_encode()
+        inside = runs.indices.to_numpy()
+        kind_of = np.zeros(len(runs.dictionary), np.uint8)
+        kind_of[inside] = kinds
+        known = len(self._index)
+        numbers = np.fromiter(map(self._index.__getitem__, runs.dictionary.to_pylist()), np.int64, len(kind_of))
+        self._learn(kind_of[numbers >= known])
+        ids, lengths = self._ids.of(numbers[inside])
+        ends = np.append(0, np.cumsum(lengths))
+        starts = np.cumsum([len(each) + 1 for each in contents])[:-1]
         if len(self._index) > self._cached_words:
             self._forget()
-        return np.split(ids, borders[:-1])
+        return np.split(ids, ends[np.searchsorted(borders, starts)])
 
     def encode(self, texts):
         if not self.by_words:
