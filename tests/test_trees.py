@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tidegrid import catalog
@@ -207,3 +208,47 @@ def test_histograms_stay_with_the_tasks(spark, monkeypatch):
     monkeypatch.setattr(frame, "toArrow", weighed)
     trees.grown(training, [("AAA", GRID[1])])
     assert len(sizes) >= 6 and max(sizes) < 4 * len(NAMES) * 256
+
+
+def test_queries_grow_trees_on_every_row(spark, monkeypatch):
+    """The search, the chosen trees and the threshold see every row of their periods with a known target."""
+    monkeypatch.setattr(catalog, "TREE_GRID", [trees.TreeParams(max_depth=d, n_estimators=3) for d in (1, 2)])
+    taken, binned = [], trees.binned
+
+    def counted(*arguments):
+        training = binned(*arguments)
+        taken.append({symbol: model.rows for symbol, model in training.models.items()})
+        return training
+
+    monkeypatch.setattr(trees, "binned", counted)
+    names, target, keys = list(catalog.SETS.expanded), catalog.TARGET, ["symbol", "date", "decision_time_ns"]
+    features = catalog._features(spark, SF).select(*keys, target, *names)
+    rows = features.toPandas().rename(columns={target: "y"})
+    known = rows[rows.y.notna()].sort_values("decision_time_ns")
+    (_, first, end, _), (_, later, last, _), _ = catalog.PERIODS
+    catalog.forget("tree_search", "holdout")
+    try:
+        found = catalog.gbt_holdout(spark, SF).toPandas()
+        chosen = research.chosen_trees(catalog._tree_search(spark, SF))
+        catalog.holdout_economics(spark, SF).collect()
+    finally:
+        catalog.forget("tree_search", "holdout")
+    early = known[(known.date >= first) & (known.date < catalog.TUNING_BOUNDARY)]
+    boundary = pd.Timestamp(catalog.TUNING_BOUNDARY).value
+    early = early[early.decision_time_ns < boundary - catalog.PURGE_SECONDS * 1_000_000_000]
+    development, both = (known[known.date.between(first, e)] for e in (end, last))
+    assert taken == [dict(side.symbol.value_counts()) for side in (early, development, early, both)]
+    hashes = hashes_of(features)
+    for symbol, own in development.groupby("symbol"):
+        of = np.array([hashes[symbol, t] for t in own.decision_time_ns], np.int64)
+        direct = Plain(own[names].to_numpy(float), own.y.to_numpy(), of, chosen[symbol])
+        held = known[(known.symbol == symbol) & known.date.between(later, last)]
+        scored = found[found.symbol == symbol].sort_values("decision_time_ns")
+        assert scored.decision_time_ns.tolist() == held.decision_time_ns.tolist()
+        assert np.abs(scored.predicted.to_numpy() - direct.predict(held[names].to_numpy(float))).max() < 1e-7
+
+
+def test_trees_of_a_holdout_refuse_a_sample(spark):
+    frame = spark_table(spark, table())
+    with pytest.raises(ValueError, match="every training row"):
+        research.tree_holdout(frame, frame, NAMES, "y", {"AAA": GRID[0]}, 2)

@@ -616,15 +616,11 @@ def horizon_metrics(spark, sf_dir):
     return rounded(evaluation.regression_metrics(predictions, ["symbol", "target", "scope"]), 6)
 
 
-def _tree_sample(frame: DataFrame) -> DataFrame:
-    return frame.where(F.col(TARGET).isNotNull() & (F.pmod("decision_time_ns", F.lit(STRIDE_NS)) == 0))
-
-
 def _tree_search(spark, sf_dir) -> DataFrame:
     def make():
         development = _between(_features(spark, sf_dir), "development")
         train, validation = splits.boundary_split(development, TUNING_BOUNDARY, PURGE_SECONDS)
-        return research.tree_search(_tree_sample(train), validation, SETS.expanded, TARGET, TREE_GRID)
+        return research.tree_search(train, validation, SETS.expanded, TARGET, TREE_GRID)
 
     return _once(spark, sf_dir, "tree_search", make)
 
@@ -639,7 +635,7 @@ def gbt_holdout(spark, sf_dir):
     features = _features(spark, sf_dir)
     frame = research.tree_holdout(
         _between(features, "development"), _between(features, "confirmation"), SETS.expanded, TARGET,
-        research.chosen_trees(_tree_search(spark, sf_dir)), STRIDE_NS,
+        research.chosen_trees(_tree_search(spark, sf_dir)),
     )
     return rounded(frame.select("symbol", "date", "decision_time_ns", "actual", "predicted"))
 
@@ -651,7 +647,7 @@ def _holdout(spark, sf_dir) -> DataFrame:
         features = _features(spark, sf_dir)
         frame = research.tree_holdout(
             _between(features, "development", "confirmation"), _between(features, "holdout"),
-            SETS.expanded, TARGET, research.chosen_trees(_tree_search(spark, sf_dir)), STRIDE_NS,
+            SETS.expanded, TARGET, research.chosen_trees(_tree_search(spark, sf_dir)),
         )
         volatility = F.col(VOLATILITY).alias("volatility")
         return frame.select("symbol", "date", "decision_time_ns", "actual", "predicted", "training_mean", volatility)
@@ -676,7 +672,7 @@ def holdout_economics(spark, sf_dir):
     """The holdout predictions traded at the threshold carried from development, with what was skipped."""
     limits = models.tree_thresholds(
         _between(_features(spark, sf_dir), "development"), SETS.expanded, TARGET, research.chosen_trees(_tree_search(spark, sf_dir)),
-        TUNING_BOUNDARY, PURGE_SECONDS, STRIDE_NS, EXECUTION.threshold_sigma, VOLATILITY,
+        TUNING_BOUNDARY, PURGE_SECONDS, 1, EXECUTION.threshold_sigma, VOLATILITY,
     )
     scored = _holdout(spark, sf_dir).withColumnRenamed("predicted", "prediction")
     run = backtest.run_signals(_trades(spark, sf_dir), scored, limits, EXECUTION)

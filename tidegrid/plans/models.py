@@ -78,7 +78,7 @@ def tree_thresholds(
     development: DataFrame, features: Sequence[str], target: str, params: Mapping[str, trees.TreeParams],
     boundary_date: str, purge_seconds: int, stride_ns: int, sigma: float, volatility: str,
 ) -> DataFrame:
-    """Thresholds of the chosen trees, from a fit on the sampled rows before the boundary."""
+    """Thresholds of the chosen trees, from a fit on the rows before the boundary; ``stride_ns`` as in ``tree_holdout``."""
     train, validation = calibration(development, target, boundary_date, purge_seconds)
     validated = research.tree_holdout(train, validation, features, target, params, stride_ns)
     return stored(thresholds(validated, development, sigma, volatility), "tree-thresholds")

@@ -251,21 +251,22 @@ def chosen_trees(scores: DataFrame) -> dict[str, trees.TreeParams]:
 
 def tree_holdout(
     train: DataFrame, evaluation_rows: DataFrame, features: Sequence[str], target: str,
-    params: Mapping[str, trees.TreeParams], stride_ns: int,
+    params: Mapping[str, trees.TreeParams], stride_ns: int = 1,
 ) -> DataFrame:
-    """Trees of each symbol fitted on every ``stride_ns``-th training row, scored on the holdout.
+    """Trees of each symbol fitted on every training row with a known target, scored on the holdout.
 
-    The reference mean for R2 is that of all eligible training rows, not of the subsample.
+    Fits are not made on a sample: ``stride_ns`` is kept for callers that pass 1, every row, and any other raises.
     A symbol of the holdout without candidate or training rows raises.
     """
+    if stride_ns != 1:
+        raise ValueError(f"trees are fitted on every training row, not on a stride of {stride_ns} ns")
     known = train.where(F.col(target).isNotNull())
-    sampled = known.where(F.pmod("decision_time_ns", F.lit(stride_ns)) == 0)
     symbols = sorted(_known_rows(evaluation_rows, target))
-    if missing := set(symbols) - (set(params) & set(_known_rows(sampled, target))):
+    if missing := set(symbols) - (set(params) & set(_known_rows(known, target))):
         raise ValueError(f"no trees for {sorted(missing)}")
     means = known.groupBy("symbol").agg(F.avg(target).alias("training_mean"))
     rows = evaluation_rows.where(F.col(target).isNotNull())
-    own = sampled.where(F.col("symbol").isin(symbols))
+    own = known.where(F.col("symbol").isin(symbols))
     training = trees.binned(own, features, target, "symbol", ("symbol", "decision_time_ns"))
     models = dict(zip(symbols, trees.grown(training, [(s, params[s]) for s in symbols])))
     scored = trees.score(rows, features, "symbol", models).withColumn("actual", F.col(target))
